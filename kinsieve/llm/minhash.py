@@ -1,11 +1,12 @@
 """MinHash near-duplicate removal (operator 6).
 
 Shingles are hashed to 64 bits; equal shingle sets are one node.  A node's signature is the
-minima of universal hashes (a*x + b mod 2**64, a odd); its bands give bucket keys.  In a
-bucket every member is first compared with one pivot, then, among members that are still in
-different components, those outside the bucket's largest component are compared with all
-others, so that no link between components is lost and no group is expanded into all its
-pairs.  A comparison takes the lengths and the signatures first and confirms on full sets.
+minima of universal hashes (a*x + b mod 2**64, a odd); its bands give bucket keys.  Every
+node is first compared with the least pivot of its buckets, then, for some rounds, members
+outside their bucket's largest component with members drawn from that; at last members
+still in different components meet by an exact prefix-filtered join of their full sets,
+so that no link between components is lost while no group is expanded into all its pairs.  A comparison takes lengths and
+signatures first and confirms on full sets.
 Components come from alternating large-star and small-star.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and are
@@ -18,13 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, cut, map_batches, maybe_broadcast, mix, table, text_or_empty
 from .components import components
 
-HASHES, ROWS = 160, 5
+HASHES, ROWS, TURNS, DRAWS = 160, 5, 2, 3
 _RNG = np.random.default_rng(2024)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -131,6 +132,8 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
     b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("gv"), F.col("sid").alias("sv"))
     both = pairs.join(a, "u").join(b, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     likely = cut(map_batches(both.select("u", "v", "gu", "gv", "su", "sv"), near, "u long, v long, su binary, sv binary"))
+    if not likely.limit(1).count():
+        return likely.select("u", "v")
     wanted = cut(likely.select(F.col("su").alias("sid")).unionByName(likely.select(F.col("sv").alias("sid"))).distinct())
     own = cut(_sets(docs, wanted, k))
     full = likely.join(own.select(F.col("sid").alias("su"), F.col("own").alias("a")), "su").join(own.select(F.col("sid").alias("sv"), F.col("own").alias("b")), "sv")
@@ -138,6 +141,33 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
     return cut(full.where(shared * 100 >= (F.size("a") + F.size("b") - shared) * percent).select("u", "v"))
 
 
+def _apart(members: DataFrame, root: DataFrame, turn: int) -> DataFrame:
+    """(key, node, root, largest, drawn): members of buckets with several components, the largest of these, and one of its members drawn by a hash."""
+    own = members.select("key", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = own.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("d"))
+    split = parts.groupBy("key").agg(F.max(F.struct("c", "root", "d")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return own.join(split.select("key", F.col("most.root").alias("largest"), F.col("most.d.node").alias("drawn")), "key")
+
+
+def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): all pairs of nodes of different components that can be similar enough, by prefix filtering (Chaudhuri et al., 2006).
+
+    Two sets that similar share one of the rarest n - ceil(percent% of n) + 1 shingles of each.
+    Edits make shingles that few texts have, so copies of one text don't all meet.
+    """
+    if not apart.limit(1).count():
+        return apart.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    own = _sets(docs, apart.select("sid").distinct(), k).join(apart, "sid")
+    rows = cut(own.select("node", "root", "n", F.explode("own").alias("s")))
+    frequency = rows.groupBy("s").agg(F.count("*").alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
+    prefix = rows.join(frequency, "s").withColumn("r", rarest).where(F.expr(f"r <= n - (n * {percent} + 99) div 100 + 1 and df > 1"))
+    u = prefix.select("s", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"))
+    v = prefix.select("s", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
+    near = F.expr(f"ru <> rv and u > v and least(nu, nv) * 100 >= greatest(nu, nv) * {percent}")
+    return u.join(v, (u["s"] == v["s"]) & near).select("u", "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; links where 100 * intersection >= percent * union."""
     rows = cut(profiles(docs, k))
@@ -147,20 +177,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1"))
     members = cut(keyed.join(buckets, "key"))
-    first = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    # each node against the least pivot of its buckets
+    first = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("v")).select(F.col("node").alias("u"), "v")
     links = confirmed(docs, nodes, first, k, percent)
     root = cut(components(links))
-
-    # members still apart: those outside the largest component of a bucket against all of other components
-    apart = members.where("m > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "pivot", "root")
-    split = apart.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    apart = cut(apart.join(split.select("key", F.col("most.root").alias("largest")), "key"))
-    x = apart.where("root <> largest").select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
-    y = apart.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), "pivot", "largest")
-    again = x.join(y, "key").where("ru <> rv and v <> pivot and u <> pivot and (rv = largest or u < v)").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    more = confirmed(docs, nodes, again, k, percent)
-    links = links.unionByName(more)
-    root = cut(components(links))
+    # then those outside a bucket's largest component against members of it, drawn anew each round
+    for turn in range(TURNS):
+        apart = _apart(members, root, turn)
+        asked = apart.where("root <> largest").groupBy("node").agg(F.slice(F.sort_array(F.collect_set("drawn")), 1, DRAWS).alias("vs"))
+        new = confirmed(docs, nodes, asked.select(F.col("node").alias("u"), F.explode("vs").alias("v")), k, percent)
+        if not new.limit(1).count():
+            break
+        links = cut(links.unionByName(new).distinct())
+        root = cut(components(links))
+    # at last, whatever is still apart in a bucket: an exact join on the rarest shingles
+    apart = cut(_apart(members, root, TURNS).select("node", "root").distinct().join(nodes.select("node", "n", "sid"), "node"))
+    more = confirmed(docs, nodes, _prefix_pairs(docs, apart, k, percent), k, percent)
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        root = cut(components(links))
 
     placed = nodes.select("sid", "node", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
