@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, cut, flat_batches, map_batches, mix, table, text_or_empty
 
-HEAD, OWN, ENDINGS, STATES = 1 << 20, 4096, 1024, 8
+HEAD, OWN, ENDINGS, STATES = 1 << 18, 4096, 1024, 8
 INIT_DOCS, INIT_ROUNDS, PASSES, SEGMENT = 1_500, 12, 1, 256
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
 SMOOTH, PRIOR = 0.1, 50.0
@@ -102,8 +102,14 @@ def vocabulary(training: DataFrame) -> DataFrame:
 def counts_of(words: DataFrame) -> Counts:
     total = words.agg(F.sum("c"), F.count("*"), F.sum(F.when((F.col("c") == 1) & (F.col("ending") >= 0), 1))).first()
     tokens, kinds, once = (int(x or 0) for x in total)
-    top = words.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
-    h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    # all words as frequent as the HEAD-th at most; a histogram of the counts tells how frequent that is
+    by_count = np.array([tuple(r) for r in words.groupBy("c").count().collect()] or [(0, 0)], np.int64)
+    by_count = by_count[np.argsort(-by_count[:, 0])]
+    fits = by_count[np.cumsum(by_count[:, 1]) <= HEAD, 0]
+    top = words.where(F.col("c") >= int(fits[-1] if len(fits) else 1 << 62)).select("h", "c").toArrow()
+    h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    order = np.lexsort((h, -c))
+    h, c = h[order], c[order]
     order = np.argsort(h)
     norm = tokens + SMOOTH * (kinds + 1)
     mass = np.zeros(OWN + ENDINGS)
