@@ -29,7 +29,7 @@ from .common import flat_batches, map_batches, table, text_or_empty
 
 SEQUENCE, END, AXES, BITS, FEATURES = 2048, 1, 4, 7, 1024
 #: Documents from which the bounds of the ranges are taken (fit on a bounded sample, chosen by a hash of the id); every document is packed.
-SAMPLE = 20_000
+SAMPLE = 5_000
 #: Documents to a range.
 RANGE_DOCS = 8_192
 CACHE = 300_000
