@@ -5,8 +5,9 @@ minima of universal hashes (a*x + b mod 2**64, a odd); its bands give bucket key
 node is first compared with the least pivot of its buckets, then, for some rounds, members
 outside their bucket's largest component with members drawn from that; at last members
 still in different components meet by an exact prefix-filtered join of their full sets,
-so that no link between components is lost while no group is expanded into all its pairs.  A comparison takes lengths and
-signatures first and confirms on full sets.
+so that no link between components is lost while no group is expanded into all its pairs.  A comparison takes lengths,
+parity bitmaps (which bound the symmetric difference from below, so they lose nothing) and signatures first and confirms
+on full sets.
 Components come from alternating large-star and small-star.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and are
@@ -19,13 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, cut, map_batches, maybe_broadcast, mix, table, text_or_empty
 from .components import components
 
-HASHES, ROWS, TURNS, DRAWS = 160, 5, 2, 3
+HASHES, ROWS, TURNS, DRAWS, PARITY = 160, 5, 3, 12, 512
 _RNG = np.random.default_rng(2024)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -90,8 +91,26 @@ def _set_ids(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in out]
 
 
+def parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """PARITY bits for each set: bit j is the parity of the number of its shingles that hash to j."""
+    n = len(bounds) - 1
+    slot = (mix(h ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(bounds)) * PARITY + slot, minlength=n * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY), axis=1, bitorder="little").view("<i8")
+
+
+def not_too_far(percent: int) -> Column:
+    """False only for sets (sizes nu, nv; parities pu, pv) that can't be similar enough.
+
+    Every bit that differs needs a shingle of the symmetric difference (bitmap filter, Sandes et al., 2017),
+    and similar sets have a difference of at most (100 - percent) / (100 + percent) of both sizes.
+    """
+    differ = " + ".join(f"bit_count(pu[{j}] ^ pv[{j}])" for j in range(PARITY // 64))
+    return F.expr(f"least(nu, nv) * 100 >= greatest(nu, nv) * {percent} and ({differ}) * {100 + percent} <= (nu + nv) * {100 - percent}")
+
+
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, sid, bands, sig) of each document; sid names its shingle set."""
+    """(doc_id, n_shingles, sid, bands, sig, parity) of each document; sid names its shingle set."""
 
     def run(batch: pa.RecordBatch) -> dict:
         h, bounds = shingles(batch.column(1).to_pylist(), k)
@@ -103,9 +122,11 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
             key = mix(key ^ m[:, :, j] * _C[j])
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
         sig = (minima >> np.uint64(40)).astype("<u4")
-        return {"doc_id": batch.column(0), "n_shingles": np.diff(bounds), "sid": _set_ids(h, bounds), "bands": flat, "sig": [s.tobytes() for s in sig]}
+        odd = parities(h, bounds)
+        parity = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, PARITY // 64), pa.int32()), pa.array(odd.reshape(-1)))
+        return {"doc_id": batch.column(0), "n_shingles": np.diff(bounds), "sid": _set_ids(h, bounds), "bands": flat, "sig": [s.tobytes() for s in sig], "parity": parity}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, n_shingles long, sid binary, bands array<long>, sig binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, n_shingles long, sid binary, bands array<long>, sig binary, parity array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -120,7 +141,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) among distinct pairs (u, v) of nodes: lengths, then signatures, then full sets."""
+    """Links (u, v) among distinct pairs (u, v) of nodes: lengths and parities, then signatures, then full sets."""
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
 
     def near(batch: pa.RecordBatch) -> dict:
@@ -128,9 +149,9 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
         keep = pa.array((a == b).mean(axis=1) >= least)
         return {n: batch.column(i).filter(keep) for i, n in ((0, "u"), (1, "v"), (4, "su"), (5, "sv"))}
 
-    a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("gu"), F.col("sid").alias("su"))
-    b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("gv"), F.col("sid").alias("sv"))
-    both = pairs.join(a, "u").join(b, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("gu"), F.col("sid").alias("su"), F.col("parity").alias("pu"))
+    b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("gv"), F.col("sid").alias("sv"), F.col("parity").alias("pv"))
+    both = pairs.join(a, "u").join(b, "v").where(not_too_far(percent))
     likely = cut(map_batches(both.select("u", "v", "gu", "gv", "su", "sv"), near, "u long, v long, su binary, sv binary"))
     if not likely.limit(1).count():
         return likely.select("u", "v")
@@ -162,16 +183,16 @@ def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> Da
     frequency = rows.groupBy("s").agg(F.count("*").alias("df"))
     rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
     prefix = rows.join(frequency, "s").withColumn("r", rarest).where(F.expr(f"r <= n - (n * {percent} + 99) div 100 + 1 and df > 1"))
-    u = prefix.select("s", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"))
-    v = prefix.select("s", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
-    near = F.expr(f"ru <> rv and u > v and least(nu, nv) * 100 >= greatest(nu, nv) * {percent}")
-    return u.join(v, (u["s"] == v["s"]) & near).select("u", "v").distinct()
+    prefix = prefix.join(apart.select("node", "parity"), "node")
+    u = prefix.select("s", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("parity").alias("pu"))
+    v = prefix.select("s", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
+    return u.join(v, (u["s"] == v["s"]) & F.expr("ru <> rv and u > v") & not_too_far(percent)).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; links where 100 * intersection >= percent * union."""
     rows = cut(profiles(docs, k))
-    grouped = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    grouped = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
     nodes = cut(grouped).withColumn("node", F.monotonically_increasing_id())  # over a checkpoint, so always the same
 
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
@@ -191,7 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = cut(links.unionByName(new).distinct())
         root = cut(components(links))
     # at last, whatever is still apart in a bucket: an exact join on the rarest shingles
-    apart = cut(_apart(members, root, TURNS).select("node", "root").distinct().join(nodes.select("node", "n", "sid"), "node"))
+    apart = cut(_apart(members, root, TURNS).select("node", "root").distinct().join(nodes.select("node", "n", "sid", "parity"), "node"))
     more = confirmed(docs, nodes, _prefix_pairs(docs, apart, k, percent), k, percent)
     if more.limit(1).count():
         links = links.unionByName(more)

@@ -236,3 +236,20 @@ def test_toxicity_held_out(spark):
     assert all(got[i] == y for i, y in labels)
     a = lex.automaton()
     assert toxicity.hits(a, toxicity.fold("such a Grumb1or")) and toxicity.hits(a, toxicity.fold("snаrkwit")) and not toxicity.hits(a, "plain words")
+
+
+def test_parity_bitmaps_never_reject_a_link(spark):
+    r = random.Random(5)
+    sets = []
+    for _ in range(60):
+        base = [r.getrandbits(63) for _ in range(r.choice([1, 20, 150, 900]))]
+        for edits in (0, len(base) // 40, len(base) // 14, len(base) // 5):
+            sets.append(sorted(set(base[edits:]) | {r.getrandbits(63) for _ in range(edits)}))
+    h, bounds = np.array([x for s in sets for x in s], np.uint64), np.cumsum([0, *map(len, sets)])
+    bits = minhash.parities(h, bounds).tolist()
+    pairs = [(i, j) for i in range(0, len(sets), 4) for j in range(i + 1, i + 4)]
+    rows = [(i, j, len(sets[i]), len(sets[j]), bits[i], bits[j]) for i, j in pairs]
+    df = spark.createDataFrame(rows, "i int, j int, nu long, nv long, pu array<long>, pv array<long>")
+    passed = {(x["i"], x["j"]) for x in df.where(minhash.not_too_far(85)).collect()}
+    links = {(i, j) for i, j in pairs if 100 * len(a := set(sets[i]) & set(sets[j])) >= 85 * len(set(sets[i]) | set(sets[j])) and a}
+    assert links and links <= passed and len(passed) < len(pairs)
