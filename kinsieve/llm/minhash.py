@@ -130,14 +130,16 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(sid, own): full shingle sets of the wanted sids (a table of distinct sid), computed again from whole texts."""
+    """(sid, own): full shingle sets of the wanted sids (distinct sid, and rep, a document that has it), computed again from whole texts."""
 
     def run(batch: pa.RecordBatch) -> dict:
         h, bounds = shingles(batch.column(0).to_pylist(), k)
         return {"sid": _set_ids(h, bounds), "own": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))}
 
-    found = map_batches(docs.select(text_or_empty().alias("text")), run, "sid binary, own array<long>")
-    return found.join(maybe_broadcast(wanted), "sid", "left_semi").dropDuplicates(["sid"])
+    some = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    some = some.join(maybe_broadcast(wanted.select("rep")), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    found = map_batches(some.select("text"), run, "sid binary, own array<long>")
+    return found.join(maybe_broadcast(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -155,7 +157,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
     likely = cut(map_batches(both.select("u", "v", "gu", "gv", "su", "sv"), near, "u long, v long, su binary, sv binary"))
     if not likely.limit(1).count():
         return likely.select("u", "v")
-    wanted = cut(likely.select(F.col("su").alias("sid")).unionByName(likely.select(F.col("sv").alias("sid"))).distinct())
+    wanted = cut(likely.select(F.col("su").alias("sid")).unionByName(likely.select(F.col("sv").alias("sid"))).distinct().join(nodes.select("sid", "rep"), "sid"))
     own = cut(_sets(docs, wanted, k))
     full = likely.join(own.select(F.col("sid").alias("su"), F.col("own").alias("a")), "su").join(own.select(F.col("sid").alias("sv"), F.col("own").alias("b")), "sv")
     shared = F.size(F.array_intersect("a", "b"))
@@ -178,7 +180,7 @@ def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> Da
     """
     if not apart.limit(1).count():
         return apart.select(F.col("node").alias("u"), F.col("node").alias("v"))
-    own = _sets(docs, apart.select("sid").distinct(), k).join(apart, "sid")
+    own = _sets(docs, apart.select("sid", "rep").distinct(), k).join(apart, "sid")
     rows = cut(own.select("node", "root", "n", F.explode("own").alias("s")))
     frequency = rows.groupBy("s").agg(F.count("*").alias("df"))
     rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = cut(links.unionByName(new).distinct())
         root = cut(components(links))
     # at last, whatever is still apart in a bucket: an exact join on the rarest shingles
-    apart = cut(_apart(members, root, TURNS).select("node", "root").distinct().join(nodes.select("node", "n", "sid", "parity"), "node"))
+    apart = cut(_apart(members, root, TURNS).select("node", "root").distinct().join(nodes.select("node", "n", "sid", "rep", "parity"), "node"))
     more = confirmed(docs, nodes, _prefix_pairs(docs, apart, k, percent), k, percent)
     if more.limit(1).count():
         links = links.unionByName(more)
