@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Words, cut, map_batches, maybe_broadcast, mix, table, text_or_empty
 from .components import components
 
-HASHES, ROWS, TURNS, DRAWS, PARITY = 160, 5, 3, 12, 512
+HASHES, ROWS, TURNS, DRAWS, PARITY = 160, 5, 1, 12, 512
 _RNG = np.random.default_rng(2024)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -121,7 +121,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
         for j in range(ROWS):
             key = mix(key ^ m[:, :, j] * _C[j])
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
-        sig = (minima >> np.uint64(40)).astype("<u4")
+        sig = (minima >> np.uint64(48)).astype("<u2")
         odd = parities(h, bounds)
         parity = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, PARITY // 64), pa.int32()), pa.array(odd.reshape(-1)))
         return {"doc_id": batch.column(0), "n_shingles": np.diff(bounds), "sid": _set_ids(h, bounds), "bands": flat, "sig": [s.tobytes() for s in sig], "parity": parity}
@@ -147,7 +147,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
 
     def near(batch: pa.RecordBatch) -> dict:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, HASHES) for i in (2, 3))
         keep = pa.array((a == b).mean(axis=1) >= least)
         return {n: batch.column(i).filter(keep) for i, n in ((0, "u"), (1, "v"), (4, "su"), (5, "sv"))}
 
