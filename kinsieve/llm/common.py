@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It learns of them only when the driver's garbage is collected, which may be much later than
+    they die; iterative jobs would meanwhile fill the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast hint for a table of a checked number of rows; beyond the bound a shuffle join is left to Spark."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

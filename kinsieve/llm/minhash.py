@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, map_batches, maybe_broadcast, mix, table, text_or_empty
+from .common import Words, cut, map_batches, maybe_broadcast, mix, release, table, text_or_empty
 from .components import components
 
 HASHES, ROWS, TURNS, DRAWS, PARITY = 160, 5, 1, 12, 512
@@ -191,19 +191,30 @@ def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> Da
     return u.join(v, (u["s"] == v["s"]) & F.expr("ru <> rv and u > v") & not_too_far(percent)).select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs; links where 100 * intersection >= percent * union."""
-    rows = cut(profiles(docs, k))
-    grouped = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
-    nodes = cut(grouped).withColumn("node", F.monotonically_increasing_id())  # over a checkpoint, so always the same
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(sid, rep, n, bands, sig, parity, node): one row for each set that isn't empty."""
+    own = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
+    return cut(own).withColumn("node", F.monotonically_increasing_id())  # over a checkpoint, so always the same
 
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, node, pivot, m): the buckets of several nodes; pivot is the least of them."""
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1"))
-    members = cut(keyed.join(buckets, "key"))
+    return cut(keyed.join(buckets, "key"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs; links where 100 * intersection >= percent * union."""
+    rows = cut(profiles(docs, k))
+    nodes = _nodes(rows)
+    members = _members(nodes)
+    release(docs.sparkSession)
     # each node against the least pivot of its buckets
     first = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("v")).select(F.col("node").alias("u"), "v")
     links = confirmed(docs, nodes, first, k, percent)
     root = cut(components(links))
+    release(docs.sparkSession)
     # then those outside a bucket's largest component against members of it, drawn anew each round
     for turn in range(TURNS):
         apart = _apart(members, root, turn)
@@ -213,9 +224,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         links = cut(links.unionByName(new).distinct())
         root = cut(components(links))
+        release(docs.sparkSession)
     # at last, whatever is still apart in a bucket: an exact join on the rarest shingles
     apart = cut(_apart(members, root, TURNS).select("node", "root").distinct().join(nodes.select("node", "n", "sid", "rep", "parity"), "node"))
-    more = confirmed(docs, nodes, _prefix_pairs(docs, apart, k, percent), k, percent)
+    left = cut(_prefix_pairs(docs, apart, k, percent))
+    release(docs.sparkSession)
+    more = confirmed(docs, nodes, left, k, percent)
     if more.limit(1).count():
         links = links.unionByName(more)
         root = cut(components(links))
