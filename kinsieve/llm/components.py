@@ -13,10 +13,10 @@ def _mins(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of a node to the least of its neighbourhood."""
+    """Links every larger neighbour of a node to the least of its neighbourhood; one row for each edge, so repeats may stay."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.join(_mins(both), "u").where("v > u")
-    return near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+    return near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
