@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Words, cut, map_batches, maybe_broadcast, mix, release, table, text_or_empty
 from .components import components
 
-HASHES, ROWS, TURNS, DRAWS, PARITY = 160, 5, 1, 12, 512
+HASHES, ROWS, TURNS, DRAWS, PARITY, FEW = 160, 5, 1, 12, 512, 16
 _RNG = np.random.default_rng(2024)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -185,10 +185,14 @@ def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> Da
     frequency = rows.groupBy("s").agg(F.count("*").alias("df"))
     rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
     prefix = rows.join(frequency, "s").withColumn("r", rarest).where(F.expr(f"r <= n - (n * {percent} + 99) div 100 + 1 and df > 1"))
-    prefix = prefix.join(apart.select("node", "parity"), "node")
-    u = prefix.select("s", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("parity").alias("pu"))
-    v = prefix.select("s", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
-    return u.join(v, (u["s"] == v["s"]) & F.expr("ru <> rv and u > v") & not_too_far(percent)).select("u", "v").distinct()
+    # a pair meets at one shared shingle only where the least FEW of both prefixes have one in common
+    whole = prefix.groupBy("node").agg(F.array_sort(F.collect_list("s")).alias("all"))  # of one document
+    whole = whole.join(apart.select("node", "root", "n", "parity"), "node")
+    each = whole.select("node", "root", "n", "parity", F.slice("all", 1, FEW).alias("few"), F.explode("all").alias("s"))
+    u = each.select("s", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("parity").alias("pu"), F.col("few").alias("fu"))
+    v = each.select("s", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("parity").alias("pv"), F.col("few").alias("fv"))
+    once = F.expr("s_ = coalesce(array_min(array_intersect(fu, fv)), s_)")
+    return u.withColumnRenamed("s", "s_").join(v, (F.col("s_") == v["s"]) & F.expr("ru <> rv and u > v") & not_too_far(percent) & once).select("u", "v").distinct()
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
