@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges to a task where a round reads them; few edges in many partitions would be mostly overhead.
+EDGES_PER_TASK = 4_000
+
 
 def _mins(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -41,7 +44,7 @@ def components(links: DataFrame) -> DataFrame:
 
     now = state(edges)
     while now[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges.coalesce(max(1, -(-now[0] // EDGES_PER_TASK))))))
         before, now = now, state(edges)
         if now == before:
             break
