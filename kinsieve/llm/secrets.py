@@ -8,17 +8,19 @@ layer knows the span of the original text that it came from.
 
 Defined results: null text counts as empty (no spans; the digest of the empty string);
 repeated rows give repeated results; an empty table gives an empty result; only id and
-text are read.  A compressed layer is scanned in full up to LAYER_BYTES; ``cut_layers``
-counts longer ones (decompression bombs), whose head is scanned.
+text are read.  What lies below base64 is read as a stream, piece by piece, and again for
+each pass over it, so that decompression bombs and streams packed in streams are scanned
+to their end in bounded memory; ``cut_layers`` stays in the schema and is 0.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import hashlib
 import re
 import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, table, text_or_empty
 
+#: Bytes of a stream, or of a run of base64 in it, up to which it is held in memory; beyond, it is read anew for each pass.
 LAYER_BYTES = 8 << 20
+
+#: Most bytes that a decompressor returns at once.
+PIECE = 1 << 20
 KINDS = ("assign", "access", "hex")
 
 
@@ -43,6 +49,10 @@ _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _TOKEN = re.compile(r"\S+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_SPACES = re.compile(r"\x20{2,}")
 
 Span = tuple[int, int, str]
 
@@ -73,14 +83,6 @@ class Layer:
         return min(a for a, _ in own), max(b for _, b in own)
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
 def _url(layer: Layer) -> list[Layer]:
     out = []
     for m in _TOKEN.finditer(layer.text) if "%" in layer.text and _ESCAPED.search(layer.text) else ():
@@ -114,66 +116,251 @@ def _escapes(layer: Layer) -> list[Layer]:
     for m in found:
         text += layer.text[p : m.start()]
         at += [layer.span(i, i + 1) for i in range(p, m.start())]
-        digits = m[0].strip("\\uUx{}&#X;")
-        code = int(digits, 10 if m[0].startswith("&#") and m[0][2] not in "xX" else 16)
-        text.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"), at.append(layer.span(*m.span()))
+        text.append(_character(m[0])), at.append(layer.span(*m.span()))
         p = m.end()
     text += layer.text[p:]
     at += [layer.span(i, i + 1) for i in range(p, len(layer.text))]
     return [Layer("".join(text), at, "unicode")]
 
 
-def _unpacked(data: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed bytes of a zlib, gzip or raw stream with a known beginning, and whether they were cut."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        try:
-            d = zlib.decompressobj(47)
-            return d.decompress(data, LAYER_BYTES), bool(d.unconsumed_tail)
-        except zlib.error:
-            return None
-    return None
+Read = Callable[[], Iterator]
+
+
+def _packed(data: bytes) -> bool:
+    """Whether the bytes begin as a zlib or gzip stream does."""
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0)
+
+
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The decompressed bytes of a stream, to its end or to where it is damaged; nothing if it is no stream."""
+    d = zlib.decompressobj(47)
+    for data in pieces:
+        more = True
+        while more and not d.eof:
+            before = d.copy()
+            try:
+                out = d.decompress(data, PIECE)
+            except zlib.error:  # the bytes before the damage
+                for i in range(len(data)):
+                    try:
+                        out = before.decompress(data[i : i + 1])
+                    except zlib.error:
+                        return
+                    if out:
+                        yield out
+                return
+            if out:
+                yield out
+            data = d.unconsumed_tail
+            more = bool(data) or len(out) == PIECE
+        if d.eof:
+            return
+
+
+def _held(read: Read) -> tuple[Read, bytes, bytes]:
+    """(a reader, which has the bytes in memory if they are few; their head; their digest)."""
+    parts, size, head, name = [], 0, b"", hashlib.blake2b(digest_size=16)
+    for piece in read():
+        name.update(piece)
+        head = head if len(head) > 2 else head + piece[:3]
+        size += len(piece)
+        if size <= LAYER_BYTES:
+            parts.append(piece)
+    data = b"".join(parts)
+    return (lambda: iter([data])) if size <= LAYER_BYTES else read, head, name.digest()
+
+
+def _innermost(read: Read) -> tuple[Read, str]:
+    """What is left of bytes once streams packed in streams are unpacked, and the way there."""
+    way, (read, head, name) = "base64", _held(read)
+    seen = {name}
+    while _packed(head):
+        inner, head, name = _held(lambda outer=read: _inflated(outer()))
+        if not head or name in seen:  # no stream, or one that holds itself
+            break
+        seen.add(name)
+        read, way = inner, way + "+zip"
+    return read, way
+
+
+def _text(read: Read) -> Iterator[str]:
+    d = codecs.getincrementaldecoder("utf-8")()
+    for piece in read():
+        yield d.decode(piece)
+    yield d.decode(b"", True)
+
+
+def _url_text(pieces: Iterator[str]) -> Iterator[str]:
+    """A text in pieces with its URL escapes decoded."""
+    d, hold = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for piece in pieces:
+        text, out, p = hold + piece, [], 0
+        end = max(text.rfind("%", -2), 0) if "%" in text[-2:] else len(text)
+        for m in _ESCAPES.finditer(text, 0, end):
+            if m.start() > p:
+                out += d.decode(b"", True), text[p : m.start()]
+            out.append(d.decode(bytes.fromhex(m[0].replace("%", ""))))
+            p = m.end()
+        if p < end:
+            out += d.decode(b"", True), text[p:end]
+        hold = text[end:]
+        yield "".join(out)
+    yield d.decode(b"", True) + hold
+
+
+def _character(escape: str) -> str:
+    digits = escape.strip("\\uUx{}&#X;")
+    code = int(digits, 10 if escape.startswith("&#") and escape[2] not in "xX" else 16)
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+
+def _unicode_text(pieces: Iterator[str]) -> Iterator[str]:
+    """A text in pieces with its Unicode and HTML escapes decoded; none is longer than 10 characters."""
+    hold = ""
+    for piece in pieces:
+        text, out, p = hold + piece, [], 0
+        for m in _UNICODE.finditer(text):
+            if m.start() > len(text) - 11:
+                break
+            out += text[p : m.start()], _character(m[0])
+            p = m.end()
+        end = max(p, len(text) - 10)
+        out.append(text[p:end])
+        hold = text[end:]
+        yield "".join(out)
+    yield _UNICODE.sub(lambda m: _character(m[0]), hold)
+
+
+def _bytes_of(run: str) -> bytes:
+    """A run of base64 characters decoded; of a last group, whole bytes."""
+    run = run.replace("-", "+").replace("_", "/")
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _part(read: Read, start: int, end: int) -> Iterator[bytes]:
+    """Characters start to end of a text in pieces, decoded from base64."""
+    at, hold = 0, ""
+    for piece in read():
+        hold += piece[max(0, start - at) : max(0, end - at)]
+        at += len(piece)
+        whole = len(hold) // 4 * 4
+        if whole:
+            yield _bytes_of(hold[:whole])
+        hold = hold[whole:]
+        if at >= end:
+            break
+    yield _bytes_of(hold)
+
+
+def _runs(read: Read) -> Iterator[Read]:
+    """Readers of the bytes behind each run of 16 base64 characters or more of a text in pieces."""
+
+    def reader() -> Read:
+        if size > LAYER_BYTES:
+            return lambda start=start, end=start + size: _part(read, start, end)
+        data = _bytes_of("".join(parts))
+        return lambda: iter([data])
+
+    at, start, size, parts = 0, 0, 0, []  # the run that is open
+    for piece in read():
+        p = 0
+        if size:
+            m = _RUN.match(piece)
+            p = m.end() if m else 0
+            size += p
+            if size <= LAYER_BYTES:
+                parts.append(piece[:p])
+            if p < len(piece):
+                if size >= 16:
+                    yield reader()
+                size, parts = 0, []
+        if not size:
+            tail = max(p, len(piece.rstrip(_ALPHABET)))
+            for m in _LONG.finditer(piece, p, tail):
+                start, size, parts = at + m.start(), m.end() - m.start(), [m[0]]
+                yield reader()
+            start, size, parts = at + tail, len(piece) - tail, [piece[tail:]]
+        at += len(piece)
+    if size >= 16:
+        yield reader()
+
+
+def _kinds(pieces: Iterator[str]) -> set[str]:
+    """The kinds of secrets that scan() finds in the whole of a text in pieces; 24 characters settle each kind, once spaces are single."""
+    found: set[str] = set()
+    hold = ""
+    for piece in pieces:
+        text = _SPACES.sub(" ", hold + piece)
+        found |= {kind for *_, kind in scan(text)}
+        done = 0
+        for m in _ASSIGN.finditer(text) if ":" in text or "=" in text else ():
+            done = m.start() if m.end() == len(text) else m.end()
+        hold = text[max(done, len(text) - 24) :]
+    return found
+
+
+def _inside(text: Read, way: str) -> Iterator[tuple[Read, str]]:
+    """The layers right below a text in pieces, and their ways."""
+    marks = {c for piece in text() for c in "%\\&" if c in piece}
+    if "%" in marks:
+        yield lambda: _url_text(text()), f"{way}>url"
+    if marks & {"\\", "&"}:
+        yield lambda: _unicode_text(text()), f"{way}>unicode"
+    for run in _runs(text):
+        for child, own in _texts(run):
+            yield child, f"{way}>{own}"
+
+
+def _texts(run: Read) -> Iterator[tuple[Read, str]]:
+    """The texts that bytes behind base64 can be, and their ways."""
+    read, way = _innermost(run)
+    try:
+        if all(c.isprintable() or c in "\t\r\n" for piece in _text(read) for c in piece):
+            yield lambda: _text(read), way
+    except UnicodeDecodeError:
+        return
 
 
-def _base64(layer: Layer) -> tuple[list[Layer], int]:
-    out, over = [], 0
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
+def _below(span: tuple[int, int], run: Read, above: str, seen: set[bytes]) -> Iterator[Span]:
+    """The secrets in the bytes behind base64 and in all layers below; they all lie in the run's span."""
+    stack = [((text, f"{above}>{way}".lstrip(">")) for text, way in _texts(run))]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
             continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        way = "base64"
-        for _ in range(64):  # streams packed in streams
-            if (un := _unpacked(data)) is None:
-                break
-            data, way, over = un[0], way + "+zip", over + un[1]
-        if (text := _printable(data)) is not None:
-            out.append(Layer(text, [layer.span(*m.span())] * len(text), way))
-    return out, over
+        text, way = child
+        name = hashlib.blake2b(repr(span).encode(), digest_size=16)
+        for piece in text():
+            name.update(piece.encode("utf-8", "replace"))
+        if name.digest() not in seen:
+            seen.add(name.digest())
+            yield from ((*span, f"{kind}@{way}") for kind in sorted(_kinds(text())))
+            stack.append(_inside(text, way))
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
-    """(base spans, spans that the decoded layers add, layers cut).  The kind of an added span is its kind@way>way."""
+    """(base spans, spans that the decoded layers add, layers cut: none).  The kind of an added span is its kind@way>way."""
     base = scan(text)
     added: set[Span] = set()
-    seen, over = {hashlib.blake2b(text.encode(), digest_size=16).digest()}, 0
+    seen = {hashlib.blake2b(text.encode(), digest_size=16).digest()}
     work = [Layer(text, None, "")]
     while work:
         layer = work.pop()
         if layer.at is not None:
             added |= {(*layer.span(s, e), f"{kind}@{layer.way}") for s, e, kind in scan(layer.text)}
-        packed, cuts = _base64(layer)
-        over += cuts
-        for child in [*_url(layer), *_escapes(layer), *packed]:
+        for m in _BASE64.finditer(layer.text):
+            data = _bytes_of(m[0].rstrip("="))
+            added |= set(_below(layer.span(*m.span()), lambda: iter([data]), layer.way, seen))
+        for child in [*_url(layer), *_escapes(layer)]:
             name = hashlib.blake2b(child.text.encode("utf-8", "replace") + repr(child.at[:1] + child.at[-1:]).encode(), digest_size=16).digest()
             if name not in seen:
                 seen.add(name)
                 child.way = f"{layer.way}>{child.way}".lstrip(">")
                 work.append(child)
     same = {(s, e, k) for s, e, k in base}
-    return base, [x for x in added if (x[0], x[1], x[2].split("@")[0]) not in same], over
+    return base, [x for x in added if (x[0], x[1], x[2].split("@")[0]) not in same], 0
 
 
 def _written(spans: list[Span]) -> str:

@@ -175,6 +175,32 @@ def test_secret_layers():
     assert secrets.all_spans("plain words, 100%25 and %%% noise \\u00")[1] == []
 
 
+def test_secrets_past_8_mb_of_a_compressed_layer():
+    inner = b" token: abcdef123456 "
+    for fill in ("x", "- ", "\u20ac"):  # a cut at 8 MB falls inside the last
+        data = b"y" + fill.encode() * ((9 << 20) // len(fill.encode()))
+        for end, kind in ((inner, "assign@base64+zip"), (base64.b64encode(inner), "assign@base64+zip>base64")):
+            packed = zlib.compress(data + b" " + end)
+            for wrap, way in ((packed, kind), (zlib.compress(packed), kind.replace("+zip", "+zip+zip"))):
+                text = f"a {base64.b64encode(wrap).decode()} b"
+                assert secrets.all_spans(text)[1:] == ([(2, len(text) - 2, way)], 0), (fill, way)
+
+
+def test_secrets_in_pieces_equal_those_in_the_whole():
+    r = random.Random(11)
+    words = ["token", ": ", "=", "   ", "abcdef", "pass", "word", "AKIA", "ABCDEFGH", "0123456789ab", "%", "41", "%20", "%C3%A9", "\\u00", "41", "&#", "65;", "\n", "é", '"']
+    for _ in range(3000):
+        text = "".join(r.choices(words, k=r.randrange(1, 30)))
+        pieces, p = [], 0
+        while p < len(text):
+            pieces.append(text[p : (p := p + r.randrange(1, 9))])
+        assert secrets._kinds(iter(pieces)) == {k for *_, k in secrets.scan(text)}, text
+        for decoded in (secrets._url_text, secrets._unicode_text):
+            assert "".join(decoded(iter(pieces))) == "".join(decoded(iter([text]))), text
+        runs = [secrets._bytes_of(m[0]) for m in secrets._LONG.finditer(text)]
+        assert [b"".join(x()) for x in secrets._runs(lambda: iter(pieces))] == runs, text
+
+
 def test_private_base_brute_force():
     r = random.Random(7)
     mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
