@@ -52,6 +52,7 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_NULS = re.compile(rb"(?:[^\0]\0){6}|(?:\0[^\0]){6}")
 _SPACES = re.compile(r"\x20{2,}")
 
 Span = tuple[int, int, str]
@@ -183,10 +184,13 @@ def _innermost(read: Read) -> tuple[Read, str]:
     return read, way
 
 
-def _text(read: Read) -> Iterator[str]:
-    d = codecs.getincrementaldecoder("utf-8")()
+def _text(read: Read, codec: str = "utf-8", skip: int = 0) -> Iterator[str]:
+    """Bytes in pieces as text, ill-formed ones replaced."""
+    d = codecs.getincrementaldecoder(codec)("replace")
     for piece in read():
-        yield d.decode(piece)
+        own = piece[skip:]
+        skip = max(0, skip - len(piece))
+        yield d.decode(own)
     yield d.decode(b"", True)
 
 
@@ -312,14 +316,25 @@ def _inside(text: Read, way: str) -> Iterator[tuple[Read, str]]:
             yield child, f"{way}>{own}"
 
 
+def _alternate(pieces: Iterator[bytes]) -> bool:
+    """Whether NUL takes turns with other bytes as it does in UTF-16, over 6 characters (no secret is shorter)."""
+    hold = b""
+    for piece in pieces:
+        data = hold + piece
+        if b"\0" in data and _NULS.search(data):
+            return True
+        hold = data[-12:]
+    return False
+
+
 def _texts(run: Read) -> Iterator[tuple[Read, str]]:
-    """The texts that bytes behind base64 can be, and their ways."""
+    """The texts that bytes behind base64 can be, and their ways.  Any bytes are text enough: the patterns of secrets reject noise."""
     read, way = _innermost(run)
-    try:
-        if all(c.isprintable() or c in "\t\r\n" for piece in _text(read) for c in piece):
-            yield lambda: _text(read), way
-    except UnicodeDecodeError:
-        return
+    yield lambda: _text(read), way
+    if _alternate(read()):
+        for codec in ("utf-16-le", "utf-16-be"):
+            for skip in (0, 1):  # it may begin after an odd number of bytes
+                yield lambda codec=codec, skip=skip: _text(read, codec, skip), way
 
 
 def _below(span: tuple[int, int], run: Read, above: str, seen: set[bytes]) -> Iterator[Span]:

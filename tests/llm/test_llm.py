@@ -186,6 +186,19 @@ def test_secrets_past_8_mb_of_a_compressed_layer():
                 assert secrets.all_spans(text)[1:] == ([(2, len(text) - 2, way)], 0), (fill, way)
 
 
+def test_secrets_among_any_characters_and_bytes():
+    inner = "token: abcdef123456"
+    deeper = "note " + base64.b64encode(inner.encode()).decode()
+    for odd in ("\u00a0", "\u3000", "\ufeff", "\u200b", "\U0001f469\u200d\U0001f4bb", "\u00ad", "\u2028", "\f", "\x1b[31m", "\0"):
+        for way, pack in (("base64", lambda x: x), ("base64+zip", zlib.compress)):
+            for body, kind in ((inner, f"assign@{way}"), (deeper, f"assign@{way}>base64")):
+                added = secrets.all_spans(base64.b64encode(pack(f"{odd} {body} {odd}".encode())).decode())[1]
+                assert kind in {k for *_, k in added}, (odd, kind, added)
+    for data in (f"caf\u00e9 {inner}".encode("latin-1"), f"caf\u00e9 {inner}".encode("utf-16"), f"\u20ac {inner} \u20ac".encode("utf-16-be"), b"\xff\xfe\xfd" + inner.encode("utf-16-le"), b"\x80" + inner.encode()):
+        added = secrets.all_spans(base64.b64encode(data).decode())[1]
+        assert "assign@base64" in {k for *_, k in added}, data
+
+
 def test_secrets_in_pieces_equal_those_in_the_whole():
     r = random.Random(11)
     words = ["token", ": ", "=", "   ", "abcdef", "pass", "word", "AKIA", "ABCDEFGH", "0123456789ab", "%", "41", "%20", "%C3%A9", "\\u00", "41", "&#", "65;", "\n", "é", '"']
