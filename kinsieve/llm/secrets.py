@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,15 +45,18 @@ _NAMES = "|".join(_either(w) for w in ("password", "passwd", "secret", "token",
 _ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ would give, of which 24 are needed
-_ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_TOKEN = re.compile(r"\S+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _NULS = re.compile(rb"(?:[^\0]\0){6}|(?:\0[^\0]){6}")
+#: A line break inside base64, by the least length of lines: lines of 60 or more are also joined without shorter ones before them, which may be prose.
+_BREAK = r"(?<!-----)[ \t]{0,80}(?:\r\n|\n|\r)[ \t]{0,80}(?!-----)"
+_BREAKS = {n: re.compile(rf"(?<=[A-Za-z0-9+/_-]{{{n}}}){_BREAK}(?=[A-Za-z0-9+/_-])") for n in (16, 60)}
+_WRAPPED = [re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{{n},}}+{_BREAK})+[A-Za-z0-9+/_-]++={{0,2}}") for n in _BREAKS]
+_GAPS = re.compile(r"\s+")
 _SPACES = re.compile(r"\x20{2,}")
 
 Span = tuple[int, int, str]
@@ -85,26 +89,22 @@ class Layer:
 
 
 def _url(layer: Layer) -> list[Layer]:
-    out = []
-    for m in _TOKEN.finditer(layer.text) if "%" in layer.text and _ESCAPED.search(layer.text) else ():
-        if not _ESCAPED.search(m[0]):
-            continue
-        text, at, p = [], [], m.start()
-        while p < m.end():
-            run = _ESCAPES.match(layer.text, p, m.end())
-            if not run:
-                text.append(layer.text[p]), at.append(layer.span(p, p + 1))
-                p += 1
-                continue
-            data = bytes.fromhex(run[0].replace("%", ""))
-            q = 0
-            for c in data.decode("utf-8", "replace"):  # an ill-formed byte becomes one sign
-                size = 1 if c == "\ufffd" else len(c.encode())
-                text.append(c), at.append(layer.span(p + 3 * q, min(run.end(), p + 3 * (q + size))))
-                q += size
-            p = run.end()
-        out.append(Layer("".join(text), at, "url"))
-    return out
+    found = list(_ESCAPES.finditer(layer.text)) if "%" in layer.text else []
+    if not found:
+        return []
+    text, at, p = [], [], 0
+    for m in found:
+        text += layer.text[p : m.start()]
+        at += [layer.span(i, i + 1) for i in range(p, m.start())]
+        p, q = m.start(), 0
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"):  # an ill-formed byte becomes one sign
+            size = 1 if c == "\ufffd" else len(c.encode())
+            text.append(c), at.append(layer.span(p + 3 * q, min(m.end(), p + 3 * (q + size))))
+            q += size
+        p = m.end()
+    text += layer.text[p:]
+    at += [layer.span(i, i + 1) for i in range(p, len(layer.text))]
+    return [Layer("".join(text), at, "url")]
 
 
 def _escapes(layer: Layer) -> list[Layer]:
@@ -133,29 +133,47 @@ def _packed(data: bytes) -> bool:
 
 
 def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The decompressed bytes of a stream, to its end or to where it is damaged; nothing if it is no stream."""
-    d = zlib.decompressobj(47)
+    """The decompressed bytes of one stream after another, up to damage; bytes after these are passed on.  Nothing if there is no stream."""
+    d, hold, some = zlib.decompressobj(47), b"", False
     for data in pieces:
-        more = True
-        while more and not d.eof:
-            before = d.copy()
-            try:
-                out = d.decompress(data, PIECE)
-            except zlib.error:  # the bytes before the damage
-                for i in range(len(data)):
-                    try:
-                        out = before.decompress(data[i : i + 1])
-                    except zlib.error:
-                        return
-                    if out:
-                        yield out
-                return
-            if out:
-                yield out
-            data = d.unconsumed_tail
-            more = bool(data) or len(out) == PIECE
-        if d.eof:
-            return
+        data, hold = hold + data, b""
+        while data:
+            if d is None:  # between streams, which NUL may pad
+                data = data.lstrip(b"\0")
+                if len(data) < 3:
+                    hold = data
+                    break
+                if not _packed(data):
+                    yield data
+                    yield from pieces
+                    return
+                d = zlib.decompressobj(47)
+            more, rest = True, data
+            while more and not d.eof:
+                before = d.copy()
+                try:
+                    out = d.decompress(rest, PIECE)
+                except zlib.error:  # the bytes before the damage, then the rest as it is
+                    for i in range(len(rest)):
+                        try:
+                            out = before.decompress(rest[i : i + 1])
+                        except zlib.error:
+                            break
+                        if out:
+                            some = True
+                            yield out
+                    if some:
+                        yield rest
+                        yield from pieces
+                    return
+                if out:
+                    some = True
+                    yield out
+                rest = d.unconsumed_tail
+                more = bool(rest) or len(out) == PIECE
+            data, d = (d.unused_data, None) if d.eof else (b"", d)
+    if hold:
+        yield hold
 
 
 def _held(read: Read) -> tuple[Read, bytes, bytes]:
@@ -242,6 +260,14 @@ def _bytes_of(run: str) -> bytes:
     return base64.b64decode(run + "=" * (-len(run) % 4))
 
 
+def _encoded(text: str) -> Iterator[re.Match]:
+    """The runs of base64 in a text: lines on their own, and joined over single line breaks."""
+    yield from _BASE64.finditer(text)
+    if "\n" in text or "\r" in text:
+        for pattern in _WRAPPED:
+            yield from pattern.finditer(text)
+
+
 def _part(read: Read, start: int, end: int) -> Iterator[bytes]:
     """Characters start to end of a text in pieces, decoded from base64."""
     at, hold = 0, ""
@@ -290,6 +316,25 @@ def _runs(read: Read) -> Iterator[Read]:
         yield reader()
 
 
+def _unwrapped(pieces: Iterator[str], least: int) -> Iterator[str]:
+    """A text in pieces without the line breaks after at least so many base64 characters that more of them follow."""
+    hold, done = "", 0  # done: the characters of hold that are passed on and only seen by the lookbehind
+    for piece in itertools.chain(pieces, [None]):
+        text = hold + (piece or "")
+        last = len(text) if piece is None else max(done, len(text) - 170)  # a break and what follows it take less
+        out, p = [], done
+        for m in _BREAKS[least].finditer(text, done):
+            if m.start() > last:
+                break
+            out.append(text[p : m.start()])
+            p = m.end()
+        end = max(p, last)
+        out.append(text[p:end])
+        kept = max(0, end - 80)
+        hold, done = text[kept:], end - kept
+        yield "".join(out)
+
+
 def _kinds(pieces: Iterator[str]) -> set[str]:
     """The kinds of secrets that scan() finds in the whole of a text in pieces; 24 characters settle each kind, once spaces are single."""
     found: set[str] = set()
@@ -306,12 +351,13 @@ def _kinds(pieces: Iterator[str]) -> set[str]:
 
 def _inside(text: Read, way: str) -> Iterator[tuple[Read, str]]:
     """The layers right below a text in pieces, and their ways."""
-    marks = {c for piece in text() for c in "%\\&" if c in piece}
+    marks = {c for piece in text() for c in "%\\&\r\n" if c in piece}
     if "%" in marks:
         yield lambda: _url_text(text()), f"{way}>url"
     if marks & {"\\", "&"}:
         yield lambda: _unicode_text(text()), f"{way}>unicode"
-    for run in _runs(text):
+    wrapped = [lambda n=n: _unwrapped(text(), n) for n in _BREAKS] if marks & {"\r", "\n"} else []
+    for run in itertools.chain.from_iterable(map(_runs, [text, *wrapped])):
         for child, own in _texts(run):
             yield child, f"{way}>{own}"
 
@@ -365,8 +411,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
         layer = work.pop()
         if layer.at is not None:
             added |= {(*layer.span(s, e), f"{kind}@{layer.way}") for s, e, kind in scan(layer.text)}
-        for m in _BASE64.finditer(layer.text):
-            data = _bytes_of(m[0].rstrip("="))
+        for m in _encoded(layer.text):
+            data = _bytes_of(_GAPS.sub("", m[0]).rstrip("="))
             added |= set(_below(layer.span(*m.span()), lambda: iter([data]), layer.way, seen))
         for child in [*_url(layer), *_escapes(layer)]:
             name = hashlib.blake2b(child.text.encode("utf-8", "replace") + repr(child.at[:1] + child.at[-1:]).encode(), digest_size=16).digest()

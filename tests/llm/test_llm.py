@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and hard cases on small tables."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -199,6 +200,28 @@ def test_secrets_among_any_characters_and_bytes():
         assert "assign@base64" in {k for *_, k in added}, data
 
 
+def test_secrets_in_wrapped_base64_members_and_spaced_url():
+    r = random.Random(12)
+    noise = "".join(r.choice("ghijklmnop \n") for _ in range(300))
+    inner = f"{noise} token: abcdef123456 {noise}"
+    for end in ("\n", "\r\n", "\n  "):
+        for width in (20, 64, 76):
+            for data, kind in ((inner.encode(), "assign@base64"), (zlib.compress(inner.encode()), "assign@base64+zip"), (gzip.compress(noise.encode()) + gzip.compress(inner.encode()), "assign@base64+zip")):
+                code = base64.b64encode(data).decode()
+                lines = end.join(code[i : i + width] for i in range(0, len(code), width))
+                for head, tail in (("see ", " end"), ("-----BEGIN CERTIFICATE-----\n", "\n-----END CERTIFICATE-----"), ("so:\n", "\nRegards")):
+                    text = head + lines + tail
+                    span = [(s, e) for s, e, k in secrets.all_spans(text)[1] if k == kind]
+                    assert any(s <= len(head) and e >= len(head + lines) for s, e in span), (end, width, kind, head)
+                    nested = secrets.all_spans(base64.b64encode(text.encode()).decode())[1]
+                    assert kind.replace("@", "@base64>") in {k for *_, k in nested}
+    for members in (gzip.compress(b"one") + b"\0\0" + gzip.compress(inner.encode()), gzip.compress(b"one") + inner.encode(), zlib.compress(inner.encode())[:-4] + b"gone"):
+        assert {k for *_, k in secrets.all_spans(base64.b64encode(members).decode())[1]} == {"assign@base64+zip"}
+    for text in ("password%3D abcdef12", "a token %3A abcdef12", "password =%20abcdef12"):
+        start = max(text.find("password"), text.find("token"))
+        assert (start, len(text), "assign@url") in secrets.all_spans(text)[1], text
+
+
 def test_secrets_in_pieces_equal_those_in_the_whole():
     r = random.Random(11)
     words = ["token", ": ", "=", "   ", "abcdef", "pass", "word", "AKIA", "ABCDEFGH", "0123456789ab", "%", "41", "%20", "%C3%A9", "\\u00", "41", "&#", "65;", "\n", "é", '"']
@@ -210,6 +233,8 @@ def test_secrets_in_pieces_equal_those_in_the_whole():
         assert secrets._kinds(iter(pieces)) == {k for *_, k in secrets.scan(text)}, text
         for decoded in (secrets._url_text, secrets._unicode_text):
             assert "".join(decoded(iter(pieces))) == "".join(decoded(iter([text]))), text
+        for n in secrets._BREAKS:
+            assert "".join(secrets._unwrapped(iter(pieces), n)) == secrets._BREAKS[n].sub("", text), text
         runs = [secrets._bytes_of(m[0]) for m in secrets._LONG.finditer(text)]
         assert [b"".join(x()) for x in secrets._runs(lambda: iter(pieces))] == runs, text
 
