@@ -46,19 +46,26 @@ def cluster(records: DataFrame, config: SplitConfig) -> Clustering:
         none = records.sparkSession.createDataFrame([], "a long, b long, score double")
         labels = records.select("rid", F.col("rid").alias("root"))
         return Clustering(graph.number_clusters(labels), none, none, config.similarity_threshold, ks, {"input_sequences": total, "cluster_count": total})
-    exact = config.exact_mode and n_unique <= config.exact_mode_max_sequences
+    exact = config.exact_mode
+    if exact and n_unique > config.exact_mode_max_sequences:
+        raise ValueError("exact mode has more sequences than exact_mode_max_sequences")
     if exact and n_unique * (n_unique - 1) // 2 > config.max_candidate_pairs:
         raise ValueError("max_candidate_pairs is below what exact mode needs")
-    scored = None
+    scored, dense = None, {}
     for k in ks:
         if exact or config.verify_with == "none" and config.similarity_threshold > 0 and len(config.lsh_rows) == 0:
             found = pairs.common_kmers(shown, k).select("a", "b", S.jaccard(F.col("common"), F.col("na"), F.col("nb")).alias("score"))
         else:
             sk = graph.cut(pairs.sketches(shown, k, config.num_hashes, config.seed))
-            near = None
-            for rows in config.lsh_rows:
-                own = pairs.band_pairs(sk, config.num_hashes, rows, seed=config.seed)
+            near = hot = None
+            for i, rows in enumerate(config.lsh_rows):
+                own = pairs.band_pairs(sk, config.num_hashes, rows, seed=(config.seed + k * 1009 + i) % 2**32, by_band=True)
                 near = own if near is None else near.unionByName(own)
+                members = pairs.dense_members(sk, config.num_hashes, rows)
+                hot = members if hot is None else hot.unionByName(members)
+            hot = graph.cut(hot.distinct())
+            if hot.limit(1).count():
+                dense[k] = hot
             sets = shown.select("rid", S.kmers(F.col("seq"), k).alias("ks"))
             both = near.distinct().join(sets.select(F.col("rid").alias("a"), F.col("ks").alias("ka")), "a").join(sets.select(F.col("rid").alias("b"), F.col("ks").alias("kb")), "b")
             c = F.size(F.array_intersect("ka", "kb"))
@@ -71,6 +78,9 @@ def cluster(records: DataFrame, config: SplitConfig) -> Clustering:
     scored = graph.cut(scored)
     threshold = diagnostics.otsu(scored, config.similarity_threshold) if config.adaptive_threshold else config.similarity_threshold
     edges = scored.where(F.col("score") >= threshold)
+    if dense:
+        scored = graph.cut(scored.unionByName(dense_pairs(dense, shown, unique, edges, threshold, ks, config)).groupBy("a", "b").agg(F.max("score").alias("score")))
+        edges = scored.where(F.col("score") >= threshold)
     finder = graph.component_labels if config.cluster_method == "components" else lambda n, e: graph.propagate_labels(n, e, config.seed)
     roots = finder(unique, edges)
     again = records.join(unique.join(roots, "rid").select("seq", "root"), "seq", "left").select("rid", F.coalesce("root", "rid").alias("root"))
@@ -87,6 +97,20 @@ def cluster(records: DataFrame, config: SplitConfig) -> Clustering:
     return Clustering(labels, scored, edges, threshold, ks, stats)
 
 
+def dense_pairs(dense: dict[int, DataFrame], shown: DataFrame, unique: DataFrame, edges: DataFrame, threshold: float, ks: tuple[int, ...], config: SplitConfig) -> DataFrame:
+    """(a, b, score) of the pairs among members of dense buckets, by k, that the ring left out, from an exact join.
+
+    Components need only those that the edges leave apart; label propagation counts every edge.
+    """
+    roots = graph.cut(graph.component_labels(unique, edges)) if config.cluster_method == "components" else None
+    least, found = threshold if config.verify_with == "none" else config.prefilter_threshold, None
+    for k, hot in dense.items():
+        own = pairs.jaccard_pairs(shown.join(hot, "rid"), k, least, roots)
+        found = own if found is None else found.unionByName(own)
+    found = found.groupBy("a", "b").agg(F.max("score").alias("score"))
+    return found if config.verify_with == "none" else verified(found, shown, ks, config)
+
+
 def verified(scored: DataFrame, shown: DataFrame, ks: tuple[int, ...], config: SplitConfig) -> DataFrame:
     """Candidates scored again by the verification metrics: sets on the reduced sequences, edit distance on the raw ones."""
     seqs = shown.select("rid", "seq", "raw")

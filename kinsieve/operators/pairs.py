@@ -24,12 +24,13 @@ def kmer_rows(records: DataFrame, k: int) -> DataFrame:
     return sets.select("rid", F.size("kmers").alias("n"), F.explode("kmers").alias("kmer"))
 
 
-def common_kmers(records: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+def common_kmers(records: DataFrame, k: int, least: float = 0.0, roots: DataFrame | None = None) -> DataFrame:
     """(a, b, na, nb, common) of pairs a < b that share a k-mer.
 
     With least > 0, only pairs of Jaccard similarity of at least that are kept whole: lengths
     are filtered in the join, and only each set's prefix by rising document frequency is indexed
     (pairs that similar must share a k-mer of both prefixes), so frequent k-mers don't join.
+    With roots (rid, root), only pairs of different roots; a k-mer's largest root isn't joined with itself.
     """
     rows = kmer_rows(records, k)
     if least > 0:
@@ -42,7 +43,7 @@ def common_kmers(records: DataFrame, k: int, least: float = 0.0) -> DataFrame:
         prefix = rows
     a = prefix.select(F.col("rid").alias("a"), F.col("n").alias("na"), "kmer")
     b = prefix.select(F.col("rid").alias("b"), F.col("n").alias("nb"), "kmer")
-    joined = a.join(b, "kmer").where("a < b")
+    joined = a.join(b, "kmer").where("a < b") if roots is None else apart(prefix, roots)
     if least <= 0:
         return joined.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
     near = joined.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(least)) - 1e-9).select("a", "b", "na", "nb").distinct()
@@ -50,10 +51,22 @@ def common_kmers(records: DataFrame, k: int, least: float = 0.0) -> DataFrame:
     return full.select("a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).cast("long").alias("common"))
 
 
-def jaccard_pairs(records: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, score) of pairs at or over the threshold."""
+def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, na, b, nb, kmer), a < b, of rows (rid, n, kmer) that share a k-mer but not a root (rid, root)."""
+    posted = rows.join(roots.select("rid", "root"), "rid")
+    each = posted.groupBy("kmer", "root").agg(F.count("*").alias("c"))
+    tops = each.groupBy("kmer").agg(F.max(F.struct("c", "root"))["root"].alias("top"), F.count("*").alias("own")).where("own > 1").drop("own")
+    mixed = posted.join(tops, "kmer")
+    x = mixed.where("root <> top").select("kmer", F.struct("rid", "n").alias("x"), F.col("root").alias("rx"))
+    y = mixed.select("kmer", F.struct("rid", "n").alias("y"), F.col("root").alias("ry"), "top")
+    both = x.join(y, "kmer").where("rx <> ry and (ry = top or x.rid < y.rid)").select("kmer", F.least("x", "y").alias("l"), F.greatest("x", "y").alias("g"))
+    return both.select(F.col("l.rid").alias("a"), F.col("l.n").alias("na"), F.col("g.rid").alias("b"), F.col("g.n").alias("nb"), "kmer")
+
+
+def jaccard_pairs(records: DataFrame, k: int, threshold: float, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b, score) of pairs at or over the threshold; with roots (rid, root), of different roots."""
     score = S.jaccard(F.col("common"), F.col("na"), F.col("nb"))
-    return common_kmers(records, k, threshold).select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    return common_kmers(records, k, threshold, roots).select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
 
 
 def metric_pairs(records: DataFrame, k: int) -> DataFrame:
@@ -100,25 +113,33 @@ def bands(sketched: DataFrame, hashes: int, rows: int) -> DataFrame:
     return sketched.select("rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice("sketch", i * rows + 1, F.lit(rows)))).alias("band", "key"))
 
 
-def band_pairs(sketched: DataFrame, hashes: int, rows: int, dense: int = 128, neighbours: int = 8, seed: int = 42) -> DataFrame:
+def band_pairs(sketched: DataFrame, hashes: int, rows: int, dense: int = 128, neighbours: int = 8, seed: int = 42, by_band: bool = False) -> DataFrame:
     """(a, b) of records that share a band.
 
-    Buckets of more than ``dense`` members are not expanded: their members, in a seeded order,
-    are linked around a ring to their next neighbours, which keeps a bucket in one component at
-    linear cost.
+    Buckets of more than ``dense`` members are not expanded: their members, in a seeded order
+    (of each band its own with by_band), are linked around a ring to their next neighbours, at
+    linear cost.  Other pairs of such a bucket are not proposed, and once pairs below a threshold
+    are dropped the ring may fall apart: cluster() takes dense_members through an exact join.
     """
     rows_ = bands(sketched, hashes, rows).where(F.element_at("key", 1) < S.PRIME)
     sized = rows_.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     own = rows_.join(sized, ["band", "key"])
     small = own.where(F.col("m") <= dense)
     pairs = small.select("band", "key", F.col("rid").alias("a")).join(small.select("band", "key", F.col("rid").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
-    order = Window.partitionBy("band", "key").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("rid").cast("string"))), "rid")
+    salt = [F.col("band").cast("string"), F.lit(":")] if by_band else []
+    order = Window.partitionBy("band", "key").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *salt, F.col("rid").cast("string"))), "rid")
     ring = own.where(F.col("m") > dense).withColumn("p", F.row_number().over(order) - 1)
     step = ring.select("band", "key", F.col("rid").alias("x"), "m", F.explode(F.expr(f"sequence(1, int(least({neighbours}, (m - 1) div 2)))")).alias("o"), "p").withColumn("q", (F.col("p") + F.col("o")) % F.col("m"))
     around = step.join(ring.select("band", "key", F.col("rid").alias("y"), F.col("p").alias("q")), ["band", "key", "q"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.unionByName(around).distinct()
 
 
+def dense_members(sketched: DataFrame, hashes: int, rows: int, dense: int = 128) -> DataFrame:
+    """(rid) of the records in buckets of more than ``dense`` members, which band_pairs does not expand."""
+    rows_ = bands(sketched, hashes, rows).where(F.element_at("key", 1) < S.PRIME)
+    return rows_.join(rows_.groupBy("band", "key").agg(F.count("*").alias("m")).where(F.col("m") > dense), ["band", "key"]).select("rid").distinct()
+
+
 def nearest(query: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """(rid, score, ref): each query record's most similar reference record; ties take the largest rid; 0 and null without a shared k-mer."""
     q = kmer_rows(query, k).select(F.col("rid").alias("q"), F.col("n").alias("nq"), "kmer")

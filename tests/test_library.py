@@ -102,6 +102,42 @@ def test_clusters_keep_duplicates(spark):
         cluster.cluster(frame(spark, ["ACDEFG", "WWYYVV"]), SplitConfig(num_hashes=16, strict_clustering=True))
 
 
+def test_families_in_a_dense_bucket_stay_whole(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    motif = word(40)
+    first = [motif + word(12) for _ in range(300)]
+    seqs = [s for own in first for s in (own, own + word(1))]
+    config = SplitConfig(num_hashes=4, lsh_rows=(4,), similarity_threshold=0.9)
+    sk = pairs.sketches(frame(spark, seqs), 3, 4, config.seed)
+    hot = {x["rid"] for x in pairs.dense_members(sk, 4, 4).collect()}
+    twins = [i for i in range(0, len(seqs), 2) if {i, i + 1} <= hot]
+    assert len(twins) > 60
+    for c in (config, config.with_(verify_with="levenshtein", prefilter_threshold=0.8), config.with_(cluster_method="label-propagation")):
+        got = {x["rid"]: x["cluster_id"] for x in cluster.cluster(frame(spark, seqs), c).labels.collect()}
+        assert all(got[i] == got[i + 1] for i in twins) and len(set(got.values())) >= 300
+
+
+def test_apart_pairs_are_those_of_different_roots(spark):
+    import random
+
+    r = random.Random(4)
+    seqs = sorted({"".join(r.choice("AC") for _ in range(r.randrange(3, 12))) for _ in range(60)})
+    roots = spark.createDataFrame([(i, r.choice([0, 0, 0, 1, 2])) for i in range(len(seqs))], "rid long, root long")
+    root = {x["rid"]: x["root"] for x in roots.collect()}
+    for least in (0.0, 0.5):
+        whole = {tuple(x) for x in pairs.jaccard_pairs(frame(spark, seqs), 3, least).collect() if root[x["a"]] != root[x["b"]]}
+        got = [tuple(x) for x in pairs.jaccard_pairs(frame(spark, seqs), 3, least, roots).collect()]
+        assert len(got) == len(set(got)) and set(got) == whole and whole
+
+
+def test_exact_mode_does_not_fall_back(spark):
+    with pytest.raises(ValueError, match="exact"):
+        cluster.cluster(frame(spark, ["ACDEFG", "WWYYVV", "ACDEFH"]), SplitConfig(exact_mode=True, exact_mode_max_sequences=2))
+
+
 def test_splits(spark):
     assert assign.target_sizes(11, (0.8, 0.1, 0.1)) == [9, 1, 1]
     recs = frame(spark, ["AC"] * 100, [i % 2 for i in range(100)])
