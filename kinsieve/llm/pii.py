@@ -18,6 +18,7 @@ text are read.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 
@@ -76,13 +77,15 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+_WORDLIKE = re.compile(r"\w")
+
 # Generators: pattern, and characters of which the text must hold one.
 _GENERATORS = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s|\(@\)|\[@\])\s?[A-Za-z0-9-]{2,63}(?:(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\sdot\s)[A-Za-z]{2,24})+"), ("(at)", "[at]", "{at}", " at ", "(@)", "[@]")),
     "phone": (re.compile(r"(?<![\w.+-])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![\w])"), None),
     "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), None),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])"), None),
-    "ip6": (re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:{1,2}){3,7}[0-9A-Fa-f]{1,4}(?![\w:])"), None),
+    "ip6": (re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{0,5}+:[0-9A-Fa-f:]++(?:(?<=[0-9])(?:\.[0-9]{1,3}){3})?"), (":",)),
     "born": (re.compile(r"(?<![\w./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![\w/-])"), None),
 }
 NAMES = tuple(_GENERATORS)
@@ -98,16 +101,35 @@ _CUES = {
 }
 
 
+_HEX_WORDS = ("a", "ab", "add", "bad", "bed", "c", "cab", "dad", "dead", "beef", "face", "fade", "fed", "feed")
+
+
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals of all generators."""
     out: list[Span] = []
     digits = _DIGIT.search(text) is not None
     for kind, (pattern, signs) in _GENERATORS.items():
         if signs is None and digits or signs is not None and any(s in text for s in signs):
-            out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+            found = [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+            out += found if kind != "ip6" else [x for s, e, _ in found if (x := _ip6(text, s, e))]
     return out
 
 
+def _ip6(text: str, s: int, e: int) -> Span | None:
+    """The address in a run of groups and colons, which a single colon of the sentence may begin or end."""
+    if "::" not in text[s:e] and text.count(":", s, e) < 7:
+        return None
+    for i in (s, s + 1) if text[s] == ":" else (s,):
+        for j in (e, e - 1) if text[e - 1] == ":" else (e,):
+            if not (i == s > 0 and _WORDLIKE.match(text[s - 1]) or j == e and _WORDLIKE.match(text[e : e + 1])):
+                try:
+                    ipaddress.IPv6Address(text[i:j])
+                except ValueError:
+                    continue
+                return None if j - i < 3 else (i, j, "ip6")
+    return None
+
+
 def _iban(text: str) -> bool:
     t = text.replace(" ", "")
     return len(t) > 4 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
@@ -160,7 +182,10 @@ def _example(r: random.Random, kind: str, real: bool) -> str:
         check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
         return f"DE{check:02d}{body}" if real else f"{r.choice('ABX')}{r.choice('QRT')}{d(r, 2)} {d(r, 4)} {d(r, 4)} {d(r, 4)}"
     if kind == "ip6":
-        return ":".join(f"{r.randrange(1, 65536):x}" for _ in range(8)) if real else ":".join(d(r, 2) for _ in range(r.randrange(4, 6)))
+        if real:
+            h = lambda n: ":".join(f"{r.randrange(1, 65536):x}" for _ in range(n))
+            return r.choice([h(8), h(8), f"{h(r.randrange(1, 4))}::{h(r.randrange(1, 5))}", f"2001:db8::{r.randrange(1, 99):x}", f"fe80::{h(r.randrange(1, 5))}", f"fe80::{r.randrange(1, 16):x}", f"{h(r.randrange(2, 5))}::"])
+        return f"{r.choice(_HEX_WORDS)}::{r.choice(_HEX_WORDS)}" if r.random() < 0.6 else f"{d(r, r.randrange(1, 3))}::{d(r, r.randrange(1, 3))}"
     return f"{r.randrange(1, 29):02d}{(p := r.choice('./-'))}{r.randrange(1, 13):02d}{p}{r.randrange(1930, 2012)}"
 
 

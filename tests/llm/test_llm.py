@@ -255,6 +255,21 @@ def test_private_added(spark):
         assert not model.select(text, pii.base_spans(text)), text
 
 
+def test_private_shortened_ip6(spark):
+    found = lambda text: [text[s:e] for s, e, k in pii.candidates(text) if k == "ip6"]
+    for ip in ("2001:db8::1", "fe80::1", "::1", "2001:db8::", "1:2:3:4:5:6:7:8", "fe80::a:b:c:d", "::ffff:192.0.2.1", "64:ff9b::192.0.2.33"):
+        for text in (f"host {ip} up", f"at {ip}: down", f"ip:{ip}.", f"({ip})", ip) if ip[0] != ":" else (f"host {ip} up", ip):
+            assert found(text) == [ip], (text, found(text))
+    for text in ("std::cab", "12:30:45", "00:1a:2b:3c:4d:5e", "a::get", "1::2::3", ":::", "x :: y"[2:3], "12345::1"):
+        assert not found(text), (text, found(text))
+    model = pii.fit(docs(spark, [(i, f"some plain words {i} of a text that goes on for a while and then ends") for i in range(50)]))
+    for ip in ("2001:db8::1", "fe80::1", "2001:db8:85a3::8a2e:370:7334"):
+        text = f"the server address is {ip}, call it"
+        assert [x for x in model.select(text, pii.base_spans(text)) if "ip6" in x], ip
+    for text in ("the method add::bed of it", "see face::cab there"):
+        assert not model.select(text, pii.base_spans(text)), text
+
+
 def test_mixing_targets(spark):
     assert mixing.targets([10, 10, 80], [5, 2, 1]) == pytest.approx([30, 30, 40])
     assert mixing.knapsack([3, 5], [4, 2], 11) == [2, 1]
