@@ -165,6 +165,12 @@ def test_config(bad):
         SplitConfig(**bad)
 
 
+@pytest.mark.parametrize("name", ["balance", "balance_report", "stratify_labels", "local_search_iterations", "pareto_points"])
+def test_config_refuses_what_is_not_implemented(name):
+    with pytest.raises(ValueError, match=name):
+        SplitConfig(**{name: 1 if name in ("local_search_iterations", "pareto_points") else True})
+
+
 def test_config_normalises():
     c = SplitConfig(train_pct=80, val_pct=10, test_pct=10)
     assert math.isclose(c.train_pct, 0.8) and c.as_dict()["prefilter_threshold"] is None
