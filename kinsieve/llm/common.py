@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table may be broadcast; counted before each use.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table may be broadcast; measured before each use.
+BROADCAST_BYTES = 8 << 20
+
+#: A key with more than one in so many rows is hot: there can't be more hot keys than that.
+HOT_SHARE = 10_000
+
+#: Bytes of text that a Python worker takes up at once; a longer text is taken alone.
+SLICE_BYTES = 1 << 20
+
+#: Bytes in a window of the word hashes.
+WINDOW_BYTES = 1 << 18
 
 #: Word separators: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,8 +56,33 @@ def release(spark: SparkSession) -> None:
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast hint for a table of a checked number of rows; beyond the bound a shuffle join is left to Spark."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    """Broadcast hint for a table whose bytes were measured; beyond the bound a shuffle join is left to Spark.
+
+    A row counts 16 bytes and 16 for each column, and strings, binaries and arrays their length.
+    """
+    wide = [F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.size(f.name) * 8 for f in df.schema if f.dataType.typeName() in ("string", "binary", "array")]
+    row = 16 + 16 * len(df.columns)
+    if rows is None or wide:
+        size = df.agg(F.coalesce(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(row)).cast("long")), F.lit(0))).first()[0]
+    else:
+        size = rows * row
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with keyed (one row for each key) in which hot keys don't gather in one task.
+
+    ``count`` of keyed says how many of the ``total`` rows have the key; it is dropped.  A small table is
+    broadcast whole.  Otherwise its hot keys, at most HOT_SHARE of them however large the data,
+    are broadcast, and the others joined by a shuffle.  Both tables should be cheap to read twice.
+    """
+    whole = keyed.drop(count)
+    small = maybe_broadcast(whole)
+    if small is not whole:
+        return rows.join(small, keys)
+    hot = F.broadcast(keyed.where(F.col(count) > max(1, total // HOT_SHARE)).drop(count))
+    rest = keyed.where(F.col(count) <= max(1, total // HOT_SHARE)).drop(count)
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(rest, keys))
 
 
 ROW = "_kinsieve_row"
@@ -62,31 +98,61 @@ def unpacked(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  In local mode one of our own where it is unset; a cluster must name it."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinsieve-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that Spark wrote, by the file system that its path names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow for functions from one batch to a dict of columns; empty batches are skipped."""
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of consecutive rows with at most ``most`` bytes of strings, binaries and lists, or of one row; at most 1000 rows.
+
+    So a worker's memory follows the longest single row, not the number of rows that Spark puts into a batch.
+    """
+    used = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            used += np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
+        elif pa.types.is_list(column.type):
+            used += np.asarray(pc.list_value_length(column).fill_null(0)).astype(np.int64) * 8
+    total, at = np.cumsum(used), 0
+    while at < batch.num_rows:
+        before = int(total[at - 1]) if at else 0
+        end = min(max(at + 1, int(np.searchsorted(total, before + most, side="right"))), at + 1000, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _arrow_schema(schema: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     fields = _parse_datatype_string(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
+    return fields, to_arrow_schema(fields)
+
 
-    arrow = to_arrow_schema(fields)
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """mapInArrow for functions from a bounded slice of rows to a dict of columns; empty batches are skipped."""
+    fields, arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):  # bounds Python memory whatever Spark's batch size
-                out = fn(batch.slice(start, 1000))
+            for part in slices(batch):
+                out = fn(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
@@ -94,15 +160,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
 
 def flat_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow for functions over the whole stream of a partition that yield dicts of columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    fields = _parse_datatype_string(schema)
-    arrow = to_arrow_schema(fields)
+    """mapInArrow for functions over the whole stream of a partition, in bounded slices, that yield dicts of columns."""
+    fields, arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
+        for out in fn(part for batch in batches for part in slices(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, fields)
@@ -114,7 +176,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_TABLES = [np.random.default_rng(s).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (11, 12)]
+_TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -124,17 +186,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, r in enumerate((_R, _R_INV)):
-            p = np.full(size, r, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse; those of one window are kept."""
+    if n <= 2 * WINDOW_BYTES and _POWERS:
+        return [p[:n] for p in _POWERS]
+    out = []
+    for r in (_R, _R_INV):
+        p = np.full(max(n, 2 * WINDOW_BYTES), r, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    if n <= 2 * WINDOW_BYTES:
+        _POWERS[:] = out
+    return [p[:n] for p in out]
 
 
 class Words:
@@ -142,27 +208,41 @@ class Words:
 
     data: the bytes of all texts, lower-cased, joined by newlines; start, end: byte
     bounds of each word there; doc: index of its text; hash: polynomial hash mod 2**64,
-    mixed with the word's length.  Everything is computed by array operations.
+    mixed with the word's length.  Everything is computed by array operations, in windows
+    of WINDOW_BYTES that end between words, so what lasts is 40 bytes for each word.
     """
 
-    def __init__(self, texts: list[str | None], seeds: int = 1):
+    def __init__(self, texts: list[str | None]):
         raw = [(t or "").encode() for t in texts]
         data = b"\n".join(raw).translate(_LOWER)
         self.data = data
         a = np.frombuffer(data, np.uint8)
         sizes = np.fromiter((len(x) for x in raw), np.int64, len(raw))
         first = np.cumsum(sizes + 1) - (sizes + 1)
-        inside = ~_SPACE[a]
-        edge = np.diff(inside.view(np.int8), prepend=0, append=0)
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts, ends, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+        while at < len(a):
+            end = self._between(a, min(len(a), at + WINDOW_BYTES))
+            own = a[at:end]
+            edge = np.diff((~_SPACE[own]).view(np.int8), prepend=0, append=0)
+            start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            power, inverse = _powers(len(own) + 1)
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_TABLE[own] * power[: len(own)], dtype=np.uint64, out=total[1:])
+            h = (total[stop] - total[start]) * inverse[start]
+            hashes.append(mix(h ^ ((stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
+            starts.append(start + at), ends.append(stop + at)
+            at = end
+        self.start, self.end, self.hash = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
         self.doc = np.searchsorted(first, self.start, side="right") - 1
-        power, inverse = _powers(len(a) + 1)
-        self.hashes = []
-        for k in range(seeds):
-            total = np.zeros(len(a) + 1, np.uint64)
-            np.cumsum(_TABLES[k][a] * power[: len(a)], dtype=np.uint64, out=total[1:])
-            h = (total[self.end] - total[self.start]) * inverse[self.start]
-            self.hashes.append(mix(h ^ ((self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
-        self.hash = self.hashes[0]
         self.counts = np.bincount(self.doc, minlength=len(raw)).astype(np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
+
+    @staticmethod
+    def _between(a: np.ndarray, end: int) -> int:
+        """The first place from ``end`` on that isn't inside a word."""
+        while end < len(a):
+            part = _SPACE[a[end : end + 4096]]
+            if part.any():
+                return end + int(part.argmax())
+            end += 4096
+        return len(a)

@@ -14,7 +14,11 @@ one), so marking those deletes exactly the later copies of all maximal runs.
 Defined results: null text stays null and has no lines; rows with the same id and text are
 one document (none is a copy of the other) and get the same result; a document may repeat
 its own runs, of which the first stays; documents are ordered by id, null ids first, then
-by a digest of the text; an empty table gives an empty result; further columns are kept.
+by a digest of the text; an empty table gives an empty result; further columns are kept, whatever their names
+(n_lines and n_removed are replaced).
+
+Hot lines, hot pairs of ranks and hot runs are broadcast apart from the others (join_counted).  A worker holds
+the lines of one block, the repeated lines of one text that follow on each other, about 500 bytes for each.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ROW, WORD, cut, flat_batches, packed, table
+from .common import ROW, cut, flat_batches, join_counted, map_batches, maybe_broadcast, packed, table
 
 MIN_WORDS = 50
 POS = ["d", "t", "i"]  # id, digest of the text, line number
@@ -37,13 +42,26 @@ def _digest(c: Column | str) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, t, i, h, g, w): each line once, with 128 bits of hash and its number of words.  Words are counted later."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), _digest(text_col).alias("t"), F.posexplode(F.split(text_col, "\n", -1)).alias("i", "line"))
-    return rows.select("d", "t", "i", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w"))
+    """(d, t, i, h, g, w): each line once, with 128 bits of hash and its number of words."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        rows, at, h, g, w = [], [], [], [], []
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            own = text.encode().split(b"\n")
+            rows.append(np.full(len(own), k)), at.append(np.arange(len(own)))
+            for line in own:
+                name = xxhash.xxh3_128_digest(line)
+                h.append(name[:8]), g.append(name[8:]), w.append(len(line.split()))
+        row = pa.array(np.concatenate(rows))
+        bits = lambda x: np.frombuffer(b"".join(x), "<i8")
+        return {"d": batch.column(0).take(row), "t": batch.column(1).take(row), "i": np.concatenate(at).astype(np.int32), "h": bits(h), "g": bits(g), "w": w}
+
+    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), _digest(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(own, run, "d long, t long, i int, h long, g long, w long")
 
 
 def _first_ranks(lines: DataFrame) -> DataFrame:
-    """(h, g, r): for each repeated line the number of repeated lines that sort before it.
+    """(h, g, r, c): for each repeated line the number of repeated lines that sort before it, and how often it occurs.
 
     The prefix sum runs in 1024 ranges of the hash, which are even, and over one row for each range.
     """
@@ -51,7 +69,7 @@ def _first_ranks(lines: DataFrame) -> DataFrame:
     ranges = counted.groupBy("b").agg(F.sum("c").alias("c"))
     base = ranges.select("b", (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("base"))  # at most 1024 rows
     inside = F.sum("c").over(Window.partitionBy("b").orderBy("h", "g")) - F.col("c")
-    return counted.withColumn("r", inside).join(F.broadcast(base), "b").select("h", "g", (F.col("r") + F.col("base")).alias("r"))
+    return cut(counted.withColumn("r", inside).join(F.broadcast(base), "b").select("h", "g", (F.col("r") + F.col("base")).alias("r"), "c"))
 
 
 def _suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -59,8 +77,10 @@ def _suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
 
     left: lines from here to the end of the block.
     """
-    lines = cut(lines_of(docs, id_col, text_col).dropDuplicates(POS))
-    own = lines.join(_first_ranks(lines), ["h", "g"]).select(*POS, "w", "r")
+    once = docs.where(F.col(text_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("d"), _digest(text_col).alias("t")).count().where("count > 1").limit(1).count()
+    lines = lines_of(docs, id_col, text_col)
+    lines = cut(lines.dropDuplicates(POS) if once else lines)
+    own = join_counted(lines, _first_ranks(lines), ["h", "g"], "c", lines.count()).select(*POS, "w", "r")
     by_doc = Window.partitionBy("d", "t").orderBy("i")
     block = own.withColumn("b", F.col("i") - F.row_number().over(by_doc))
     whole = Window.partitionBy("d", "t", "b")
@@ -74,13 +94,14 @@ def _refined(s: DataFrame, step: int, total: int) -> DataFrame:
     later = s.select(F.col("d").alias("ld"), F.col("t").alias("lt"), (F.col("i") - step).alias("li"), now.alias("lr"))
     same = F.col("d").eqNullSafe(F.col("ld")) & (F.col("t") == F.col("lt")) & (F.col("i") == F.col("li"))
     own = s.join(later, same & (F.col("left") > step), "left").select(*POS, "w", "left", "ranks", F.coalesce("lr", F.lit(-1)).alias("r2")).withColumn("r", now)
+    own = cut(own)
     part = F.floor(F.col("r2") * F.lit(64) / F.lit(max(1, total)))  # so that one common first line isn't one task
     pairs = own.groupBy("r", "r2").agg(F.count("*").alias("c")).withColumn("p", part)
     parts = pairs.groupBy("r", "p").agg(F.sum("c").alias("c"))
     base = parts.select("r", "p", (F.sum("c").over(Window.partitionBy("r").orderBy("p")) - F.col("c")).alias("base"))
     inside = F.sum("c").over(Window.partitionBy("r", "p").orderBy("r2")) - F.col("c")
-    placed = pairs.withColumn("o", inside).join(base, ["r", "p"]).select("r", "r2", (F.col("r") + F.col("o") + F.col("base")).alias("new"))
-    return own.join(placed, ["r", "r2"]).select(*POS, "w", "left", F.array_append("ranks", F.col("new")).alias("ranks"))
+    placed = cut(pairs.withColumn("o", inside).join(base, ["r", "p"]).select("r", "r2", (F.col("r") + F.col("o") + F.col("base")).alias("new"), "c"))
+    return join_counted(own, placed, ["r", "r2"], "c", total).select(*POS, "w", "left", F.array_append("ranks", F.col("new")).alias("ranks"))
 
 
 def suffix_array(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,23 +158,37 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     ordered = s.repartition(n, "d", "t").sortWithinPartitions(*POS).select(*POS, "w", "left", "ranks")
     runs = cut(flat_batches(ordered, _windows(min_words), "d long, t long, i int, m int, a long, b long"))
     place = F.struct("d", "t", "i")
-    first = runs.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = runs.join(first, ["m", "a", "b"]).where(~place.eqNullSafe(F.col("first")))
+    first = cut(runs.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"))
+    copies = join_counted(runs, first, ["m", "a", "b"], "c", runs.count()).where(~place.eqNullSafe(F.col("first")))
     gone = copies.select("d", "t", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("i")).distinct()
     return gone.groupBy("d", "t").agg(F.sort_array(F.collect_list("i")).alias("drop"))
 
 
+def _without():
+    """Column function: a text without the lines of the given numbers; only texts that lose lines are passed to Python."""
+    import pandas as pd
+
+    def rest(texts: pd.Series, drops: pd.Series) -> pd.Series:
+        out = []
+        for text, drop in zip(texts, drops, strict=True):
+            gone = frozenset() if drop is None else frozenset(drop.tolist())
+            out.append(None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
+        return pd.Series(out, dtype=object)
+
+    rest.__annotations__ = {"texts": pd.Series, "drops": pd.Series, "return": pd.Series}
+    return F.pandas_udf(rest, "string")
+
+
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the later copies of repeated line runs deleted from the text, and the columns n_lines and n_removed."""
-    gone = cut(later_copies(docs, min_words, id_col, text_col))
-    size = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
-    gone = F.broadcast(gone) if size <= BROADCAST_ROWS else gone
-    lines = F.split(text_col, "\n", -1)
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["d"]) & (_digest(docs[text_col]) == gone["t"]), "left")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("drop"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines"))).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return out.withColumn(text_col, F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(kept)).drop("d", "t", "drop")
+    names = ["_kinsieve_d", "_kinsieve_t", "_kinsieve_drop"]
+    gone = maybe_broadcast(cut(later_copies(docs, min_words, id_col, text_col).toDF(*names)))
+    drop = F.col(names[2])
+    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[names[0]]) & (_digest(docs[text_col]) == gone[names[1]]), "left")
+    kept = _without()(F.when(drop.isNotNull(), F.col(text_col)), drop)
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(drop.isNull(), F.lit(0)).otherwise(F.size(drop)).cast("long")})
+    return out.withColumn(text_col, F.when(drop.isNull(), F.col(text_col)).otherwise(kept)).drop(*names)
 
 
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

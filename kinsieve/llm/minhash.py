@@ -10,6 +10,10 @@ parity bitmaps (which bound the symmetric difference from below, so they lose no
 on full sets.
 Components come from alternating large-star and small-star.
 
+Hot keys (a bucket, a pivot, a component or a set of copies that holds a large share of all rows)
+are broadcast apart from the others, see join_counted.  A worker takes up a mebibyte of text, or
+one longer text, at about 15 times its bytes.
+
 Defined results: null, empty and wordless texts have an empty set, link with nothing and are
 kept; with fewer words than a shingle the whole sequence is the one shingle; a repeated row
 shares its component, and the rows of the smallest id are all kept; null ids are ignored as
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, map_batches, maybe_broadcast, mix, release, table, text_or_empty
+from .common import Words, cut, join_counted, map_batches, maybe_broadcast, mix, packed, release, table, text_or_empty, unpacked
 from .components import components
 
 HASHES, ROWS, TURNS, DRAWS, PARITY, FEW = 160, 5, 1, 12, 512, 16
@@ -110,7 +114,7 @@ def not_too_far(percent: int) -> Column:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, sid, bands, sig, parity) of each document; sid names its shingle set."""
+    """(doc_id, t, n_shingles, sid, bands, sig, parity) of each document; t digests its text, sid names its shingle set."""
 
     def run(batch: pa.RecordBatch) -> dict:
         h, bounds = shingles(batch.column(1).to_pylist(), k)
@@ -124,9 +128,9 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
         sig = (minima >> np.uint64(48)).astype("<u2")
         odd = parities(h, bounds)
         parity = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, PARITY // 64), pa.int32()), pa.array(odd.reshape(-1)))
-        return {"doc_id": batch.column(0), "n_shingles": np.diff(bounds), "sid": _set_ids(h, bounds), "bands": flat, "sig": [s.tobytes() for s in sig], "parity": parity}
+        return {"doc_id": batch.column(0), "t": batch.column(2), "n_shingles": np.diff(bounds), "sid": _set_ids(h, bounds), "bands": flat, "sig": [s.tobytes() for s in sig], "parity": parity}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, n_shingles long, sid binary, bands array<long>, sig binary, parity array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("t")), run, "doc_id long, t long, n_shingles long, sid binary, bands array<long>, sig binary, parity array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -153,7 +157,9 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
 
     a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("gu"), F.col("sid").alias("su"), F.col("parity").alias("pu"))
     b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("gv"), F.col("sid").alias("sv"), F.col("parity").alias("pv"))
-    both = pairs.join(a, "u").join(b, "v").where(not_too_far(percent))
+    pairs = cut(pairs)
+    asked = pairs.groupBy("v").agg(F.count("*").alias("c"))  # one node may be asked by many
+    both = join_counted(pairs.join(a, "u"), b.join(asked, "v"), ["v"], "c", pairs.count()).where(not_too_far(percent))
     likely = cut(map_batches(both.select("u", "v", "gu", "gv", "su", "sv"), near, "u long, v long, su binary, sv binary"))
     if not likely.limit(1).count():
         return likely.select("u", "v")
@@ -168,8 +174,9 @@ def _apart(members: DataFrame, root: DataFrame, turn: int) -> DataFrame:
     """(key, node, root, largest, drawn): members of buckets with several components, the largest of these, and one of its members drawn by a hash."""
     own = members.select("key", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = own.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("d"))
-    split = parts.groupBy("key").agg(F.max(F.struct("c", "root", "d")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    return own.join(split.select("key", F.col("most.root").alias("largest"), F.col("most.d.node").alias("drawn")), "key")
+    split = parts.groupBy("key").agg(F.max(F.struct("c", "root", "d")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("m")).where("parts > 1")
+    split = cut(split.select("key", F.col("most.root").alias("largest"), F.col("most.d.node").alias("drawn"), "m"))
+    return join_counted(own, split, ["key"], "m", members.count())
 
 
 def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> DataFrame:
@@ -196,8 +203,8 @@ def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> Da
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """(sid, rep, n, bands, sig, parity, node): one row for each set that isn't empty."""
-    own = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
+    """(sid, rep, c, n, bands, sig, parity, node): one row for each set that isn't empty; c rows of documents have it."""
+    own = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
     return cut(own).withColumn("node", F.monotonically_increasing_id())  # over a checkpoint, so always the same
 
 
@@ -205,11 +212,14 @@ def _members(nodes: DataFrame) -> DataFrame:
     """(key, node, pivot, m): the buckets of several nodes; pivot is the least of them."""
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1"))
-    return cut(keyed.join(buckets, "key"))
+    return cut(join_counted(keyed, buckets, ["key"], "m", nodes.count() * (HASHES // ROWS)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs; links where 100 * intersection >= percent * union."""
+    """(doc_id, n_shingles, component_id, kept, t, part) for each row of docs; links where 100 * intersection >= percent * union.
+
+    t digests the text; part names the component also where ids repeat, and is null for texts without words.
+    """
     rows = cut(profiles(docs, k))
     nodes = _nodes(rows)
     members = _members(nodes)
@@ -238,13 +248,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = links.unionByName(more)
         root = cut(components(links))
 
-    placed = nodes.select("sid", "node", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    named = placed.join(least, "root").select("sid", "component")
-    out = rows.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = cut(nodes.select("sid", "node", "rep", "c").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = cut(placed.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("m")))
+    named = cut(join_counted(placed, least, ["root"], "m", nodes.count()).select("sid", "component", "c", F.col("root").alias("part")))
+    own = rows.select("doc_id", "t", "n_shingles", "sid")
+    out = join_counted(own.where("n_shingles > 0"), named, ["sid"], "c", rows.count()).unionByName(own.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "part": F.lit(None).cast("long")}))
+    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t", "part")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs, whole rows, without near duplicates: of each component the row of least id, and of that id of least text digest.
+
+    Rows that repeat that id and text are copies too, of which one stays.  Rows without words all stay.
+    """
+    found = cut(near_duplicates(docs.select("doc_id", "text"), k, percent))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("x")
+    best = found.where("part is not null").groupBy("part").agg(least).select("x.doc_id", "x.t")
+    repeated = found.where("part is not null").groupBy("doc_id", "t").agg(F.count("*").alias("times")).where("times > 1").withColumnRenamed("doc_id", "id").withColumnRenamed("t", "t2")
+    stay = best.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("t2")), "left").select("doc_id", "t", F.col("times").isNotNull().alias("once"))
+    stay = stay.unionByName(found.where("part is null").select("doc_id", "t").distinct().withColumn("once", F.lit(False)))
+    stay = maybe_broadcast(cut(stay.select(F.col("doc_id").alias("_kinsieve_id"), F.col("t").alias("_kinsieve_t"), "once")))
+    digest = F.xxhash64(text_or_empty())
+    own = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), digest.alias("t")).join(stay, F.col("doc_id").eqNullSafe(F.col("_kinsieve_id")) & (F.col("t") == F.col("_kinsieve_t")))
+    return unpacked(own.where("not once").unionByName(own.where("once").dropDuplicates(["doc_id", "t"])))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85).drop("t", "part")
