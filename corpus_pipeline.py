@@ -9,11 +9,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kinsieve.llm.common import packed, shared_folder, table, unpacked
+from kinsieve.llm.common import packed, remove_folder, shared_folder, table, unpacked
 from kinsieve.llm.linedup import without_repeated_lines
-from kinsieve.llm.minhash import near_duplicates
+from kinsieve.llm.minhash import one_of_each
 from kinsieve.llm.mixing import mix
 from kinsieve.llm.packing import pack
 from kinsieve.llm.toxicity import fit, held_out, score
@@ -31,9 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the least id."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return unpacked(packed(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi"))
+    """One document of each group stays, of five words and 80 per cent as stages on shingles take (the query of operator 6 has a contract of its own)."""
+    return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each but the last written as Parquet to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages over documents, each but the last written as Parquet to the shared folder and read again.
+
+    A stage's table is deleted when its successor is written.  The last one is what the result reads, so it stays; it
+    lies in the checkpoint folder, in a folder of its own.
+    """
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{k}"
+        docs = spark.read.parquet(before)
     return STAGES[-1][1](spark, docs, sf_dir)
