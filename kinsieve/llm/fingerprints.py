@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("fingerprint", full).drop("_kinsieve_p", "_kinsieve_fp")
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fp string, fp_long string, efp string, efp_long string, near_edited double, near_next double, edge string, text string"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fp string, fp_long string, efp string, efp_long string, near_edited double, near_next double, edge string, text string, part int"
 
 
 class _Row:
@@ -108,39 +109,49 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             if before is None:
                 first = now
             else:
-                rows.append([*before.against(now), None, None])
+                rows.append([*before.against(now), None, None, None])
             before = now
         if rows:
             yield dict(zip(names, zip(*rows, strict=True), strict=True))
     if first is not None and before is not None:
-        ends = [[x.doc_id, *[None] * 8, edge, x.text] for edge, x in (("first", first), ("last", before))]
+        ends = [[x.doc_id, *[None] * 8, edge, x.text, TaskContext.get().partitionId()] for edge, x in (("first", first), ("last", before))]
         yield dict(zip(names, zip(*ends, strict=True), strict=True))
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Pairs each partition's last row with the next partition's first; two rows for each partition."""
+    """Pairs the last row of a partition with the first of the next one that has rows; they come one after the other."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    rows = [r for b in batches for r in b.to_pylist()]
-    firsts = [_Row(r["doc_id"], r["text"]) for r in rows if r["edge"] == "first"]
-    lasts = [_Row(r["doc_id"], r["text"]) for r in rows if r["edge"] == "last"]
-    out = [[*x.against(firsts[(k + 1) % len(firsts)]), None, None] for k, x in enumerate(lasts)]
-    if out:
-        yield dict(zip(names, zip(*out, strict=True), strict=True))
+    last: _Row | None = None
+    for batch in batches:
+        out = []
+        for edge, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if edge == "last":
+                last = _Row(doc_id, text)
+            else:
+                out.append([*last.against(_Row(doc_id, text)), None, None, None])
+        if out:
+            yield dict(zip(names, zip(*out, strict=True), strict=True))
 
 
 def edited_fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """For each document its fingerprint, that of its edited text, and how they compare.
 
     The text is moved once: by ranges of the id.  Rows are then paired with their successor
-    inside the sorted partition; the two edge rows of each partition are paired in one
-    small task.
+    inside the sorted partition; a partition's last row is paired with the first of the next
+    by their numbers, spread over the tasks.  Only the numbers of the partitions that have rows come to the driver.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     done = cut(flat_batches(ordered, _pairs, SCHEMA))
-    edges = done.where("edge is not null").select("doc_id", "edge", "text").repartition(1).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    full = done.where("edge is null").unionByName(flat_batches(edges, _edges, SCHEMA))
-    shared = maybe_broadcast(cut(collisions(docs, full.select("fp").unionByName(full.select(F.col("efp").alias("fp"))), "text")))
+    used = sorted(r["part"] for r in done.where("edge = 'first'").select("part").collect())
+    before = docs.sparkSession.createDataFrame([(p, used[k - 1]) for k, p in enumerate(used)], "part int, pair int")
+    edges = done.where("edge is not null").join(F.broadcast(before), "part").withColumn("pair", F.when(F.col("edge") == "last", F.col("part")).otherwise(F.col("pair")))
+    edges = edges.repartition(n, "pair").sortWithinPartitions("pair", F.col("edge").desc()).select("edge", "doc_id", "text")
+    full = cut(done.where("edge is null").unionByName(flat_batches(edges, _edges, SCHEMA)).drop("part", "edge", "text"))
+    both = full.select("fp", "fp_long").unionByName(full.select(F.col("efp").alias("fp"), F.col("efp_long").alias("fp_long")))
+    # edited texts are compared with all others by their second digest, documents with each other byte by byte
+    differ = both.distinct().groupBy("fp").count().where("count > 1").select("fp")
+    shared = maybe_broadcast(cut(collisions(docs, both.select("fp"), "text").unionByName(differ).distinct()))
     for name in ("fp", "efp"):
         full = full.join(shared.select(F.col("fp").alias(f"shared_{name}")), F.col(name) == F.col(f"shared_{name}"), "left")
         full = full.withColumn(name, F.when(F.col(f"shared_{name}").isNull(), F.col(name)).otherwise(F.concat(name, F.lit("-"), f"{name}_long")))

@@ -4,10 +4,13 @@ Words fall into classes: each of the OWN most frequent has its own, the others s
 one by their ending, and the end of a text is one more.  A hidden Markov model generates
 the classes; within a class words follow their smoothed unigram shares, and a shared
 class keeps a part for unknown words by the share of words seen once.  Training is
-Baum-Welch: a bounded sample (INIT_DOCS by a hash of the id) gives the starting point, then
-PASSES over all training documents add up expected counts in every partition, which Spark
-sums by class.  Scoring is the scaled forward recursion over whole texts, so the
-probability is exact.
+Baum-Welch by passes over the training documents, each of which adds up expected counts in every
+partition, which Spark sums by class: WARM passes over one document in WARM_SHARE (by a hash of
+the id), as a starting point, then passes over all documents until a pass gains at most
+SETTLED (natural logarithm) a token, PASSES at most.  Whole texts go through the forward and backward recursion; the
+forward messages are kept at block ends only and computed again block by block, so a
+worker's memory doesn't grow with the square or the states times the length of a text.
+Scoring is the scaled forward recursion over whole texts, so the probability is exact.
 
 Unigram counts cover all training documents.  The HEAD most frequent words, the hot keys
 of the corpus, are broadcast (a fixed number of rows); all other words of a document are
@@ -16,7 +19,8 @@ million different words 0.03 pairs are expected to share one.
 
 Defined results: null text counts as empty (one token, the end); repeated rows give
 repeated results; without training documents every count is 0 and score equals base_score;
-an empty table gives an empty result; only id and text are read.
+an empty table gives an empty result; only id and text are read.  A worker holds TOKENS tokens,
+or those of one longer text, at about 40 bytes each, and the messages of CELLS.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import Words, cut, flat_batches, map_batches, mix, table, text_or_empty
 
 HEAD, OWN, ENDINGS, STATES = 1 << 18, 4096, 1024, 8
-INIT_DOCS, INIT_ROUNDS, PASSES, SEGMENT = 1_500, 12, 1, 256
+WARM, WARM_SHARE, PASSES, SETTLED = 10, 16, 12, 0.01
+#: Steps times sequences of which a worker keeps the messages at once, and tokens that it takes up together.
+CELLS, TOKENS = 400_000, 1_500_000
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
 SMOOTH, PRIOR = 0.1, 50.0
 
@@ -63,16 +69,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {"h": u[part].view(np.int64), "ending": e[first[part]], "n": total[part]}
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            texts = batch.column(0).slice(at, 1000).to_pylist()
-            w = Words(texts)
-            u, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-            kept.append((u, endings(w)[first], n))
-            kept.append((np.array([END_HASH]), np.array([-1], np.int32), np.array([len(texts)])))
-            size += len(u)
-            if size > 3_000_000:
-                yield from told()
-                kept, size = [], 0
+        texts = batch.column(0).to_pylist()
+        w = Words(texts)
+        u, first, n = np.unique(w.hash, return_index=True, return_counts=True)
+        kept.append((u, endings(w)[first], n))
+        kept.append((np.array([END_HASH]), np.array([-1], np.int32), np.array([len(texts)])))
+        size += len(u)
+        if size > 2_000_000:
+            yield from told()
+            kept, size = [], 0
     if kept:
         yield from told()
 
@@ -106,23 +111,20 @@ def counts_of(words: DataFrame) -> Counts:
     by_count = np.array([tuple(r) for r in words.groupBy("c").count().collect()] or [(0, 0)], np.int64)
     by_count = by_count[np.argsort(-by_count[:, 0])]
     fits = by_count[np.cumsum(by_count[:, 1]) <= HEAD, 0]
-    top = words.where(F.col("c") >= int(fits[-1] if len(fits) else 1 << 62)).select("h", "c").toArrow()
-    h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    top = words.where(F.col("c") >= int(fits[-1] if len(fits) else 1 << 62)).select("h", "c", "ending").toArrow()
+    h, c, e = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64), top["ending"].to_numpy().astype(np.int64)
     order = np.lexsort((h, -c))
-    h, c = h[order], c[order]
+    h, c, e = h[order], c[order], e[order]
     order = np.argsort(h)
     norm = tokens + SMOOTH * (kinds + 1)
     mass = np.zeros(OWN + ENDINGS)
     mass[: min(OWN, len(c))] = (c[:OWN] + SMOOTH) / norm
-    own = set(h[:OWN].tolist())
     by_ending = words.where("ending >= 0").groupBy("ending").agg(F.sum(F.col("c") + SMOOTH).alias("s")).collect()
     for r in by_ending:
         mass[OWN + r["ending"]] = r["s"] / norm
     # words with a class of their own don't count for their ending
-    ending_own = words.where(F.col("h").isin(list(map(int, h[:OWN].view(np.int64))))).select("h", "ending", "c").collect() if len(own) else []
-    for r in ending_own:
-        if r["ending"] >= 0:
-            mass[OWN + r["ending"]] -= (r["c"] + SMOOTH) / norm
+    ends = e[:OWN] >= 0
+    np.subtract.at(mass, OWN + e[:OWN][ends], (c[:OWN][ends] + SMOOTH) / norm)
     mass = np.maximum(mass, SMOOTH / norm / 10)
     shared = max(1, tokens - int(c[:OWN].sum()))
     return Counts(tokens, kinds, h[order], c[order], order.astype(np.int64), mass, min(0.5, max(1e-6, (once + 0.5) / (shared + 1))))
@@ -165,13 +167,12 @@ class Model:
     ratio: np.ndarray
 
     @classmethod
-    def of(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, mass: np.ndarray) -> Model:
-        """From expected counts (states first), smoothed."""
-        share = mass / mass.sum()
-        e = emit + PRIOR * share
+    def of(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, mass: np.ndarray, share: float = 1.0) -> Model:
+        """From expected counts (states first) of a share of the documents, smoothed in proportion."""
+        e = emit + PRIOR * share * mass / mass.sum()
         e /= e.sum(1, keepdims=True)
-        m = move + 1.0
-        s = start + 1.0
+        m = move + share
+        s = start + share
         return cls(s / s.sum(), m / m.sum(1, keepdims=True), e, np.ascontiguousarray((e / mass).T))
 
 
@@ -198,93 +199,138 @@ def likelihood(model: Model, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return back
 
 
-def expected(model: Model, cls: np.ndarray, bounds: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts (start, move, emit) of sequences cut into segments of SEGMENT tokens."""
+def _blocks(active: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of steps with about CELLS sequences times steps."""
+    out, at, ends = [], 0, np.cumsum(active)
+    while at < len(active):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + CELLS, side="right")))
+        out.append((at, min(end, len(active))))
+        at = end
+    return out
+
+
+def expected(model: Model, cls: np.ndarray, bounds: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, move, emit) of whole sequences, and their log likelihood over the product of the classes' masses.
+
+    The forward messages are kept where blocks begin; going back, each block's are computed once more.
+    """
     k = len(model.start)
-    pieces = [np.arange(a, b, SEGMENT) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    first = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-    last = np.minimum(first + SEGMENT, np.repeat(bounds[1:], [len(p) for p in pieces]))
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k))
-    heads = np.isin(first, bounds[:-1])
-    prior = np.linalg.matrix_power(model.move, 64)[0]
-    for at in range(0, len(first), 2048):
-        f, size, head = first[at : at + 2048], (last - first)[at : at + 2048], heads[at : at + 2048]
-        order, active = _grid(size)
-        f, head = f[order], head[order]
-        alphas, ratios = [], []
-        for t, n in enumerate(active):
-            r = model.ratio[cls[f[:n] + t]]
-            a = (np.where(head[:n, None], model.start, prior) if t == 0 else alphas[-1][:n] @ model.move) * r
-            alphas.append(a / a.sum(1, keepdims=True))
-            ratios.append(r)
-        b = np.ones((len(f), k))
-        for t in range(len(active) - 1, -1, -1):
+    order, active = _grid(np.diff(bounds))
+    first = bounds[:-1][order]
+    start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
+    blocks = _blocks(active)
+
+    def forward(a: np.ndarray | None, block: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+        alphas, ratios, logs = [], [], 0.0
+        for t in range(*block):
             n = active[t]
-            g = alphas[t] * b[:n]
+            r = model.ratio[cls[first[:n] + t]]
+            a = (np.broadcast_to(model.start, (n, k)) if t == 0 else a[:n] @ model.move) * r
+            s = a.sum(1)
+            logs += float(np.log(s).sum())
+            a = a / s[:, None]
+            alphas.append(a), ratios.append(r)
+        return alphas, ratios, logs
+
+    entry: list[np.ndarray | None] = [None]
+    for block in blocks:
+        alphas, ratios, logs = forward(entry[-1], block)
+        total += logs
+        entry.append(alphas[-1])
+    b = np.ones((len(first), k))
+    for at in range(len(blocks) - 1, -1, -1):
+        if at < len(blocks) - 1:
+            alphas, ratios, _ = forward(entry[at], blocks[at])
+        names, shares = [], []
+        for t in range(blocks[at][1] - 1, blocks[at][0] - 1, -1):
+            n, own = active[t], t - blocks[at][0]
+            g = alphas[own] * b[:n]
             g /= g.sum(1, keepdims=True)
-            for j in range(k):
-                emit[:, j] += np.bincount(cls[f[:n] + t], g[:, j], classes)
+            names.append(cls[first[:n] + t]), shares.append(g)
             if t == 0:
-                start += g[head].sum(0)
-            else:
-                y = ratios[t] * b[:n]
-                x = alphas[t - 1][:n]
-                z = np.einsum("ni,ij,nj->n", x, model.move, y, optimize=True)
-                move += (x / z[:, None]).T @ y * model.move
-                nb = y @ model.move.T
-                b[:n] = nb / nb.sum(1, keepdims=True)
-    return start, move, emit.T
+                start += g.sum(0)
+                continue
+            y = ratios[own] * b[:n]
+            x = (alphas[own - 1] if own else entry[at])[:n]
+            back = y @ model.move.T
+            move += (x / (x * back).sum(1)[:, None]).T @ y * model.move
+            b[:n] = back / back.sum(1, keepdims=True)
+        name, share = np.concatenate(names), np.concatenate(shares)
+        for j in range(k):
+            emit[j] += np.bincount(name, share[:, j], classes)
+    return start, move, emit, total
 
 
 def _random_model(mass: np.ndarray) -> Model:
     r = np.random.default_rng(1)
-    emit = mass / mass.sum() * r.uniform(0.5, 1.5, (STATES, len(mass))) * 1000
+    emit = mass / mass.sum() * r.gamma(0.5, 2.0, (STATES, len(mass))) * 1000
     return Model.of(np.ones(STATES), np.eye(STATES) * 20 + 1, emit, mass)
 
 
-def train(training: DataFrame, counts: Counts, passes: int = PASSES) -> Model:
-    """Starting point from the sample, on the driver; then each pass sums expected counts over all training texts."""
+def one_pass(training: DataFrame, model: Model, counts: Counts, share: float = 1.0) -> tuple[Model, float]:
+    """The next model, from expected counts over all texts of training, and the log likelihood under the present one."""
     classes = OWN + ENDINGS
-    n = training.count()
-    model = _random_model(counts.mass)
-    if n == 0:
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        read, total, held, size = Reader(counts), None, [], 0
+
+        def add(total, held):
+            sizes = np.concatenate([np.diff(g["bounds"]) for g in held])
+            new = expected(model, np.concatenate([g["cls"] for g in held]), np.concatenate([[0], np.cumsum(sizes)]), classes)
+            return new if total is None else tuple(a + b for a, b in zip(total, new, strict=True))
+
+        for batch in batches:
+            got = read(batch.column(0).to_pylist())
+            held.append({"cls": got["cls"], "bounds": got["bounds"]})
+            size += len(got["cls"])
+            if size > TOKENS:
+                total, held, size = add(total, held), [], 0
+        if held:
+            total = add(total, held)
+        if total is not None:
+            start, move, emit, logs = total
+            some = np.flatnonzero(emit.sum(0) > 0)
+            yield {"cls": [-1, -2, *range(-3, -3 - STATES, -1), *some.tolist()], "c": [[logs] + [0.0] * (STATES - 1), start.tolist(), *move.tolist(), *emit.T[some].tolist()]}
+
+    sums = flat_batches(training.select(text_or_empty().alias("text")), gather, "cls int, c array<double>")
+    rows = sums.groupBy("cls").agg(*(F.sum(F.element_at("c", j + 1)).alias(f"c{j}") for j in range(STATES))).collect()  # a row for each class at most
+    start, move, emit, logs = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, classes)), 0.0
+    for r in rows:
+        c = np.array(r[1:])
+        if r["cls"] == -1:
+            logs = float(c[0])
+        elif r["cls"] == -2:
+            start = c
+        elif r["cls"] < -2:
+            move[-3 - r["cls"]] = c
+        else:
+            emit[:, r["cls"]] = c
+    return (Model.of(start, move, emit, counts.mass, share), logs) if rows else (model, 0.0)
+
+
+def train(training: DataFrame, counts: Counts, passes: int = PASSES, warm: int = WARM, said: list[float] | None = None) -> Model:
+    """Baum-Welch: warm passes over a share of the documents, then over all of them until the likelihood settles.
+
+    The log likelihoods of the passes over all documents are appended to ``said``.
+    """
+    model, before = _random_model(counts.mass), None
+    if not counts.tokens:
         return model
-    some = training.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(max(1, n // INIT_DOCS))) == 0).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(INIT_DOCS)
-    texts = [r[0] for r in some.select(text_or_empty()).toLocalIterator()]
-    if texts:
-        got = Reader(counts)(texts)
-        for _ in range(INIT_ROUNDS):
-            model = Model.of(*expected(model, got["cls"], got["bounds"], classes), counts.mass)
+    some = cut(training.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(WARM_SHARE)) == 0).select("text"))
+    for _ in range(warm):
+        model, _ = one_pass(some, model, counts, 1 / WARM_SHARE)
     for _ in range(passes):
-
-        def gather(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[dict]:
-            read, total = Reader(counts), None
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    got = read(batch.column(0).slice(at, 500).to_pylist())
-                    new = expected(model, got["cls"], got["bounds"], classes)
-                    total = new if total is None else tuple(a + b for a, b in zip(total, new, strict=True))
-            if total is not None:
-                start, move, emit = total
-                some = np.flatnonzero(emit.sum(0) > 0)
-                yield {"cls": [-2, *range(-3, -3 - STATES, -1), *some.tolist()], "c": [start.tolist(), *move.tolist(), *emit.T[some].tolist()]}
-
-        sums = flat_batches(training.select(text_or_empty().alias("text")), gather, "cls int, c array<double>")
-        rows = sums.groupBy("cls").agg(*(F.sum(F.element_at("c", j + 1)).alias(f"c{j}") for j in range(STATES))).collect()
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, classes))
-        for r in sorted(rows, key=lambda r: r["cls"]):
-            c = np.array(r[1:])
-            if r["cls"] == -2:
-                start = c
-            elif r["cls"] < -2:
-                move[-3 - r["cls"]] = c
-            else:
-                emit[:, r["cls"]] = c
-        model = Model.of(start, move, emit, counts.mass)
+        model, now = one_pass(training, model, counts)
+        if said is not None:
+            said.append(now)
+        if before is not None and now - before <= SETTLED * counts.tokens:
+            break
+        before = now
     return model
 
 
-ROW = "doc_id long, t long, n_tokens long, known long, base double, score double, tail array<long>, times array<int>, mass array<float>"
+ROW = "doc_id long, t long, n_tokens long, known long, base double, score double, tail array<long>, times array<int>, mass array<double>"
 
 
 def _scored(model: Model, counts: Counts):
@@ -314,20 +360,18 @@ def _scored(model: Model, counts: Counts):
                 out["score"] += (g["base"] + forward[at : at + n] + g["shared"] * math.log10(1 - counts.unknown)).tolist()
                 out["tail"] += lists(h[new].view(np.int64), pa.int64())
                 out["times"] += lists(times, pa.int32())
-                out["mass"] += lists(np.log10(counts.mass[c[new]]), pa.float32())
+                out["mass"] += lists(np.log10(counts.mass[c[new]]), pa.float64())
                 at += n
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                got = read(texts)
-                held.append((part.column(0).to_pylist(), [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], got))
-                size += len(got["cls"])
-                if size > 3_000_000:
-                    yield told(held)
-                    held, size = [], 0
+            texts = batch.column(1).to_pylist()
+            got = read(texts)
+            held.append((batch.column(0).to_pylist(), [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], got))
+            size += len(got["cls"])
+            if size > TOKENS:
+                yield told(held)
+                held, size = [], 0
         if held:
             yield told(held)
 

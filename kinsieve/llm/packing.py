@@ -7,6 +7,8 @@ by ranges of (curve key, hash of the id), sorted, and packed one after another i
 sequences of 2048 tokens; documents are cut where a sequence is full, so only the last
 sequence of a range is padded.
 
+A worker holds a mebibyte of text, or one longer text, at about 25 times its bytes, and CACHE_BYTES of ids.
+
 Defined results: null text counts as empty (its one token is the end id); repeated rows
 are packed each; equal keys are ordered by hash, id and text digest; an empty table gives
 an empty result; other columns are not carried.
@@ -28,11 +30,12 @@ from pyspark.sql import functions as F
 from .common import flat_batches, map_batches, table, text_or_empty
 
 SEQUENCE, END, AXES, BITS, FEATURES = 2048, 1, 4, 7, 1024
-#: Documents from which the bounds of the ranges are taken (fit on a bounded sample, chosen by a hash of the id); every document is packed.
-SAMPLE = 5_000
-#: Documents to a range.
-RANGE_DOCS = 8_192
-CACHE = 300_000
+#: Documents to a range, and ranges at most: beyond that the ranges grow, and Spark sorts them with spilling.
+RANGE_DOCS, MOST_RANGES = 8_192, 100_000
+#: Documents from which the bounds of the ranges are taken (a sample by a hash of the id): at least so many, and so many
+#: for each range, hence 4 million at most.  Every document is packed.
+SAMPLE, SAMPLE_RANGE = 5_000, 40
+CACHE_BYTES = 24 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -52,14 +55,23 @@ class Tokens:
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         ranks = path.removesuffix(".json") + ".tiktoken"
         pairs = map(bytes.split, open(ranks, "rb"))  # noqa: SIM115
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
         self.uneven = re.compile(r" (?:\s|$)")
         self.cache: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
+
+    @property
+    def whole(self):
+        """The tokenizer itself, loaded where a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16-bit numbers (the vocabulary has 50,257)."""
@@ -71,10 +83,12 @@ class Tokens:
         cache, parts = self.cache, [np.array(self.encoding.encode_ordinary(first), "<u2").tobytes()]
         for w in words:
             if (ids := cache.get(w)) is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
                 ids = np.array(self.encoding.encode_ordinary(" " + w), "<u2").tobytes()
                 if len(w) < 32:
+                    self.room -= 200 + 2 * len(w) + len(ids)
+                    if self.room < 0:
+                        cache.clear()
+                        self.room = CACHE_BYTES
                     cache[w] = ids
             parts.append(ids)
         return b"".join(parts)
@@ -184,14 +198,15 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Data
     """
     path = path or vocabulary()
     n = docs.count()
-    ranges = max(1, -(-n // RANGE_DOCS))
+    ranges = min(MOST_RANGES, max(1, -(-n // RANGE_DOCS)))
     bounds: list[int] = []
     if ranges > 1:
-        share = max(1, n // SAMPLE)
+        share = max(1, n // max(SAMPLE, SAMPLE_RANGE * ranges))
         some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == 0)
-        seen = sorted(r[0] for r in _tokenised(some, path, None).select("place").collect())
-        bounds = sorted({seen[k * len(seen) // ranges] for k in range(1, ranges)}) if seen else []
-    dealt = _tokenised(docs, path, bounds).repartition(max(1, len(bounds) + 1), "bucket")
+        seen = np.sort(_tokenised(some, path, None).select("place").toArrow()["place"].to_numpy())
+        bounds = np.unique(seen[np.arange(1, ranges) * len(seen) // ranges]).tolist() if len(seen) else []
+    # each range is a partition of its own, by its number: a hash of the number would leave some empty and fill others twice
+    dealt = _tokenised(docs, path, bounds).repartitionById(len(bounds) + 1, F.col("bucket"))
     ordered = dealt.sortWithinPartitions("bucket", "place", "doc_id", F.xxhash64("ids")).select("doc_id", "bucket", "ids")
     return flat_batches(ordered, _packed(size), PIECES)
 

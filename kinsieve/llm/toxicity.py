@@ -6,8 +6,9 @@ the folded text; hits at word starts that no exception phrase covers add the ste
 weight; the sum, plain and normalised by length, goes through a logistic curve.
 
 The lexicon, its exceptions and the curve are fitted on a bounded sample of labelled
-rows (SAMPLE of each class, by a hash of the id; near copies count once).  All documents
-are scored, whole.
+rows (SAMPLE of each class, by a hash of the id; near copies count once).  The exceptions are words
+and phrases of up to three words around a stem that clean texts of the sample have.  All documents
+are scored, whole; a worker holds a batch of texts (at most 64 MB, or one longer text) at about 6 times its bytes.
 
 Defined results: null and empty texts score as a text without hits; repeated rows get
 equal scores; rows without or with null labels are not learnt from; with no labelled
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, flat_batches, map_batches, table, text_or_empty
 
-SAMPLE, LEXICON, STEMS = 15_000, 5_000, (4, 5, 6, 7, 8)
-MIN_SUPPORT, MIN_ODDS, CHANCE = 5, 3.5, 0.5
+SAMPLE, STEMS, PHRASE = 15_000, (4, 5, 6, 7, 8), 3
+MIN_SUPPORT, MIN_ODDS, CHANCE, MIN_CLEAN = 5, 3.5, 0.5, 3
 
 # Letters of other scripts that look like Latin ones, and signs read as letters.
 _LOOK_ALIKE = {
@@ -78,11 +79,9 @@ class Lexicon:
 
         if not self.stems:
             return None
-        a = ahocorasick.Automaton()
-        for e in self.exceptions:
-            a.add_word(e, (len(e), None))
-        for s, w in self.stems.items():
-            a.add_word(s, (len(s), w))
+        a, spared = ahocorasick.Automaton(), set(self.exceptions)
+        for e in sorted(spared | set(self.stems)):  # one entry may be both
+            a.add_word(e, (len(e), self.stems.get(e), e in spared))
         a.make_automaton()
         return a
 
@@ -92,14 +91,13 @@ def hits(automaton, folded: str) -> float:
     found: dict[int, float] = {}
     covered: list[tuple[int, int]] = []
     n = len(folded)
-    for end, (size, weight) in automaton.iter(folded):
+    for end, (size, weight, spared) in automaton.iter(folded):
         start = end + 1 - size
         if start and folded[start - 1].isalnum():
             continue
-        if weight is None:
-            if end + 1 == n or not folded[end + 1].isalnum():
-                covered.append((start, end))
-        elif weight > found.get(start, 0.0):
+        if spared and (end + 1 == n or not folded[end + 1].isalnum()):
+            covered.append((start, end))
+        if weight is not None and weight > found.get(start, 0.0):
             found[start] = weight
     if covered:
         found = {p: w for p, w in found.items() if not any(a <= p <= b for a, b in covered)}
@@ -139,7 +137,7 @@ def _copy_key(batch: pa.RecordBatch) -> dict:
     for text in batch.column(2).to_pylist():
         least = sorted({xxhash.xxh3_64_intdigest(w) for w in _WORDS.findall(text.lower())})[:6]
         keys.append(xxhash.xxh3_64_intdigest(str(least)) - (1 << 63))
-    return {"doc_id": batch.column(0), "y": batch.column(1), "text": batch.column(2), "k": keys}
+    return {"y": batch.column(1), "text": batch.column(2), "t": [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in batch.column(2).to_pylist()], "k": keys}
 
 
 def sampled(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int) -> tuple[DataFrame, list[float]]:
@@ -150,7 +148,9 @@ def sampled(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int) ->
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / F.lit(1 << 20)
     ids = own.where(draw < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")  # at most about 2 * sample rows
-    return map_batches(some.select("doc_id", "y", "text"), _copy_key, "doc_id long, y int, text string, k long").dropDuplicates(["k"]).select("text", "y"), share
+    keyed = map_batches(some.select("doc_id", "y", "text"), _copy_key, "y int, text string, t long, k long")
+    # of copies the one of least label and digest, so that reruns agree
+    return keyed.groupBy("k").agg(F.min(F.struct("y", "t", "text")).alias("x")).select("x.text", "x.y"), share
 
 
 def choose(rows: list[tuple[str, bool, int, int]], totals: list[int], terms: int) -> dict[str, float]:
@@ -167,7 +167,7 @@ def choose(rows: list[tuple[str, bool, int, int]], totals: list[int], terms: int
     for size, term, _ in able:
         if not any(term[:k] in stems for k in range(STEMS[0], size)):
             stems[term] = max(odds.get((term, False), -9.0), odds.get((term, True), -9.0))
-    return dict(sorted(stems.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
+    return stems
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
@@ -183,6 +183,42 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return tuple(map(float, b))
 
 
+def _stem_of(word: str, stems: frozenset[str]) -> bool:
+    return any(word[:k] in stems for k in range(STEMS[0], len(word) + 1))
+
+
+def phrases(text: str, stems: frozenset[str]) -> set[str]:
+    """Folded phrases of a text, of one to PHRASE words in a row, that hold a word with a stem: as they stand in the text, with what is between the words."""
+    folded = fold(text)
+    words = [(m.start(), m.end()) for m in _WORDS.finditer(folded)]
+    hit = [i for i, (a, b) in enumerate(words) if _stem_of(folded[a:b], stems)]
+    return {folded[words[i][0] : words[j][1]] for k in hit for n in range(PHRASE) for i in range(max(0, k - n), k + 1) if (j := i + n) < len(words) and words[j][1] - words[i][0] < 80}
+
+
+def _exceptions(some: DataFrame, stems: frozenset[str]) -> list[str]:
+    """Phrases in which a stem is harmless: those that more clean texts of the sample have than toxic ones; of longer ones only those that hold no shorter one.
+
+    A single word must be as frequent as that alone; a longer phrase is clean context around a stem, so it needs MIN_CLEAN clean texts and no toxic one.
+    """
+    if not stems:
+        return []
+
+    def found(batch: pa.RecordBatch) -> dict:
+        rows = [(p, y) for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in sorted(phrases(t, stems))]
+        return {"p": [r[0] for r in rows], "y": [r[1] for r in rows]}
+
+    count = lambda y: F.count_if(F.col("y") == y)
+    counted = map_batches(some.select("text", "y"), found, "p string, y int").groupBy("p").agg(count(0).alias("clean"), count(1).alias("toxic")).where("clean > toxic").collect()
+    out: set[str] = set()
+    for size in range(1, PHRASE + 1):
+        for r in counted:
+            words = _WORDS.findall(r["p"])
+            inner = {r["p"][m.start() : e.end()] for i, m in enumerate(list(_WORDS.finditer(r["p"]))) for e in list(_WORDS.finditer(r["p"]))[i:]} - {r["p"]}
+            if len(words) == size and (size == 1 or r["clean"] >= MIN_CLEAN and not r["toxic"]) and not inner & out:
+                out.add(r["p"])
+    return sorted(out)
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = SAMPLE) -> Lexicon:
     """Lexicon, exceptions and curve from the labelled rows where ``allowed`` holds (a column of labels)."""
     some, share = sampled(docs, labels, F.lit(True) if allowed is None else allowed, sample)
@@ -193,18 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     counted = flat_batches(some, _terms, "term string, whole boolean, y int, n long").groupBy("term", "whole").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     counted = cut(counted.where("toxic >= 1"))
     likely = counted.where((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") >= 10 * F.col("clean")))
-    rows = [tuple(r) for r in likely.orderBy(F.desc("toxic"), "term", "whole").limit(20 * LEXICON).collect()]
+    rows = [tuple(r) for r in likely.collect()]  # terms of the bounded sample
     stems = choose(rows, [totals[0], totals[1]], counted.count())
-    by_stem = {s for s in stems}
-
-    def beginning(batch: pa.RecordBatch) -> dict:
-        keep = pa.array([any(t[:k] in by_stem for k in range(STEMS[0], len(t) + 1)) for t in batch.column(0).to_pylist()])
-        return {n: batch.column(i).filter(keep) for i, n in enumerate(("term", "clean", "toxic"))}
-
-    spared = flat_batches(some.where("y = 0"), _terms, "term string, whole boolean, y int, n long").where("whole").groupBy("term").agg(F.sum("n").alias("clean"))
-    spared = spared.join(counted.where("whole").select("term", "toxic"), "term", "left").select("term", "clean", F.coalesce("toxic", F.lit(0)).cast("long").alias("toxic"))
-    spared = map_batches(spared.where("clean > toxic"), beginning, "term string, clean long, toxic long").orderBy(F.desc("clean"), "term").limit(LEXICON)
-    lexicon = Lexicon(stems, sorted(r["term"] for r in spared.collect()))
+    lexicon = Lexicon(stems, _exceptions(some, frozenset(stems)))
 
     def measured(batch: pa.RecordBatch) -> dict:
         a = lexicon.automaton()

@@ -167,6 +167,66 @@ def test_forward_is_exact():
         assert 10**x == pytest.approx(total)
 
 
+def test_expected_counts_brute_force(monkeypatch):
+    r = np.random.default_rng(2)
+    mass = r.dirichlet(np.ones(5))
+    m = language.Model.of(r.random(3) * 9, r.random((3, 3)) * 9, r.random((3, 5)) * 99, mass)
+    seqs = [r.integers(0, 5, n) for n in (5, 1, 3, 6)]
+    bounds = np.cumsum([0, *map(len, seqs)])
+    start, move, emit, logs = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)), 0.0
+    for s in seqs:  # every path of states
+        paths = np.stack(np.meshgrid(*[np.arange(3)] * len(s), indexing="ij"), -1).reshape(-1, len(s))
+        p = m.start[paths[:, 0]] * np.prod(m.ratio[s, paths], axis=1) * np.prod(m.move[paths[:, :-1], paths[:, 1:]], axis=1)
+        logs += np.log(p.sum())
+        p = p / p.sum()
+        np.add.at(start, paths[:, 0], p)
+        for t in range(len(s)):
+            np.add.at(emit[:, s[t]], paths[:, t], p)
+            if t:
+                np.add.at(move, (paths[:, t - 1], paths[:, t]), p)
+    for cells in (1, 7, 1000):
+        monkeypatch.setattr(language, "CELLS", cells)
+        got = language.expected(m, np.concatenate(seqs).astype(int), bounds, 5)
+        for x, y in zip(got, (start, move, emit, logs), strict=True):
+            assert np.allclose(x, y)
+
+
+def test_likelihood_rises_over_passes(spark):
+    r = random.Random(6)
+    topics = ["the cat sat on that mat".split(), "der hund lief im wald umher".split()]
+    rows = [(i, " ".join(r.choice(topics[i % 2]) for _ in range(r.randrange(1, 60)))) for i in range(80)] + [(99, " ".join(topics[0]) * 3000)]
+    d = docs(spark, rows)
+    words = language.vocabulary(d)
+    counts = language.counts_of(words)
+    said: list[float] = []
+    model = language._random_model(counts.mass)
+    for _ in range(5):
+        model, logs = language.one_pass(d, model, counts)
+        said.append(logs)
+    assert said == sorted(said) and said[-1] > said[0]
+
+
+def test_base_scores_brute_force(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(10)
+    rows = [(i, None if i == 3 else " ".join(r.choice(["the", "THE", "cat", "x\u00a0y", "rare%d" % i, "\t"]) for _ in range(r.randrange(0, 30)))) for i in range(60)]
+    d = docs(spark, rows)
+    training = d.where(~language.held_out())
+    words = language.vocabulary(training)
+    counts = language.counts_of(words)
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [0]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    c = Counter(w for i, t in rows if not held[i] for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    got = {x["doc_id"]: x for x in language.scores(d, language.train(training, counts, 1, 2), counts, words).collect()}
+    for i, t in rows:
+        own = tokens(t)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(own), sum(c[w] > 0 for w in own), n)
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own))
+
+
 def test_secret_layers():
     inner = "token: abcdef123456"
     for wrap, kind in ((base64.b64encode(inner.encode()).decode(), "assign@base64"), (inner.replace(":", "%3A").replace(" ", "%20"), "assign@url"), (base64.b64encode(zlib.compress(inner.encode())).decode(), "assign@base64+zip"), (inner.replace("k", "\\u006b"), "assign@unicode"), (base64.b64encode(base64.b64encode(inner.encode())).decode(), "assign@base64>base64")):
@@ -270,16 +330,75 @@ def test_private_shortened_ip6(spark):
         assert not model.select(text, pii.base_spans(text)), text
 
 
+def _targets(sizes, weights, most=3.0):
+    """Brute force: reshare until none is above."""
+    out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        left, w = sum(sizes) - sum(out[i] for i in range(len(sizes)) if i not in open_), sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / w > most * sizes[i]]
+        for i in over or open_:
+            out[i] = most * sizes[i] if over else left * weights[i] / w
+        open_ = open_ - set(over) if over else set()
+    return out
+
+
 def test_mixing_targets(spark):
-    assert mixing.targets([10, 10, 80], [5, 2, 1]) == pytest.approx([30, 30, 40])
+    def by_spark(sizes, weights):
+        df = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))], "i int, words long, weight double")
+        return [x["target"] for x in sorted(mixing.targets(df).collect(), key=lambda x: x["i"])]
+
+    assert by_spark([10, 10, 80], [5, 2, 1]) == pytest.approx([30, 30, 40])
+    r = random.Random(8)
+    for n in (1, 2, 7, 30):
+        sizes, weights = [r.choice([0, 1, 5, 40, 3000]) + r.randrange(3) for _ in range(n)], [(5, 2, 1)[i % 3] for i in range(n)]
+        assert by_spark(sizes, weights) == pytest.approx(_targets(sizes, weights)), sizes
+
+
+def test_knapsack_brute_force():
     assert mixing.knapsack([3, 5], [4, 2], 11) == [2, 1]
+    r = random.Random(9)
+    for _ in range(200):
+        lengths, counts = r.sample(range(1, 30), 4), [r.randrange(4) for _ in range(4)]
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {s + n * j for s in sums for j in range(c + 1)}
+        budget = r.randrange(0, 120)
+        got = mixing.knapsack(lengths, counts, budget)
+        assert all(0 <= g <= c for g, c in zip(got, counts, strict=True))
+        assert sum(g * n for g, n in zip(got, lengths, strict=True)) == max(s for s in sums if s <= budget)
+
+
+def test_mixing_plan_meets_large_budgets():
+    r = np.random.default_rng(3)
+    lengths, counts = np.unique(r.integers(1, 20_000, 900)), None
+    counts = r.integers(1, 4_000, len(lengths))
+    whole = int((lengths * counts).sum())
+    for share in (0.01, 0.37, 0.999, 1.5, 2.2):
+        copies, extra = mixing.plan(lengths, counts, whole * share)
+        assert (extra <= counts).all() and abs(copies * whole + int((extra * lengths).sum()) - whole * share) <= 1
+        if share == 0.37:  # long and short documents alike
+            half = len(lengths) // 2
+            assert abs((extra[:half].sum() / counts[:half].sum()) - (extra[half:].sum() / counts[half:].sum())) < 0.01
+
+
+def test_mixing(spark):
     r = random.Random(8)
-    rows = [(i, "w " * r.randrange(0, 40)) for i in range(200)]
-    got = mixing.takes(docs(spark, rows)).collect()
-    for s in {x["source"] for x in got}:
+    rows = [(i, "w " * r.randrange(0, 40)) for i in range(200)] + [(7, "w " * 30)] * 40 + [(None, "w"), (9, None)]
+    own = mixing.sized(docs(spark, rows))
+    got = mixing.takes(own).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.takes(own).collect()))
+    words: dict = {}
+    for k, (_, t) in enumerate(rows):
+        words[None if k == 3 else f"s{k % 3}"] = words.get(None if k == 3 else f"s{k % 3}", 0) + len((t or "").split())
+    names = sorted(words, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, _targets([words[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    for s in names:
         own = [x for x in got if x["source"] == s]
-        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 1
+        assert own[0]["source_size"] == words[s] and own[0]["target"] == pytest.approx(want[s])
+        assert abs(sum(x["taken"] for x in own) - want[s]) <= 1 or s is None
         assert all(0 <= x["taken"] <= 3 * x["size"] for x in own)
+    mixed = mixing.mix(docs(spark, rows)).collect()
+    assert len(mixed) == sum(x["copies"] if x["size"] else 1 for x in got)
 
 
 def test_fingerprints(spark):
@@ -317,6 +436,42 @@ def test_toxicity_held_out(spark):
     assert toxicity.hits(a, toxicity.fold("such a Grumb1or")) and toxicity.hits(a, toxicity.fold("snаrkwit")) and not toxicity.hits(a, "plain words")
 
 
+def test_toxicity_exceptions():
+    lex = toxicity.Lexicon({"grumb": 5.0}, ["grumb"])
+    score = lambda x, text: toxicity.hits(x.automaton(), toxicity.fold(text))
+    assert score(lex, "a grumb here") == 0 and score(lex, "a grumbish one") == 5.0
+    lex = toxicity.Lexicon({"grumb": 5.0}, ["grumb pie"])
+    assert score(lex, "some grumb pie here") == 0 and score(lex, "some grumb pies") == 5.0 and score(lex, "grumb pie, grumb") == 5.0
+
+
+def test_toxicity_hits_brute_force():
+    r = random.Random(13)
+    stems, spared = {"abba": 1.0, "abbac": 2.0, "caba": 4.0}, ["abba", "cab abba", "caba b"]
+    lex = toxicity.Lexicon(stems, spared)
+    for _ in range(3000):
+        text = "".join(r.choice("abc  ") for _ in range(30))
+        at = [i for i in range(30) if i == 0 or not text[i - 1].isalnum()]
+        covered = {j for i in at for e in spared if text.startswith(e, i) and not text[i + len(e) : i + len(e) + 1].isalnum() for j in range(i, i + len(e))}
+        want = sum(max([w for s, w in stems.items() if text.startswith(s, i)], default=0.0) for i in at if i not in covered)
+        assert toxicity.hits(lex.automaton(), text) == want, text
+
+
+def test_toxicity_phrases_are_learnt(spark):
+    r = random.Random(14)
+    rows, labels = [], []
+    for i in range(600):
+        words = ["".join(r.choice("abcdefghijkmnop") for _ in range(5)) for _ in range(20)]
+        if i % 3 == 0:
+            words[5:5] = ["grumblor"]
+        elif i % 60 == 1:
+            words[5:5] = ["saint", "grumblor", "square"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    lex = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(" " in e for e in lex.exceptions)
+    assert toxicity.hits(lex.automaton(), "the saint grumblor square") == 0 < toxicity.hits(lex.automaton(), "you grumblor")
+
+
 def test_parity_bitmaps_never_reject_a_link(spark):
     r = random.Random(5)
     sets = []
