@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which a table may be broadcast; measured before each use.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 
-#: A key with more than one in so many rows is hot: there can't be more hot keys than that.
-HOT_SHARE = 10_000
+#: A key is hot with more rows than one in HOT_SHARE (there can't be more hot keys than that) and more than a task can take without notice.
+HOT_SHARE, HOT_ROWS = 10_000, 2_000
 
 #: Bytes of text that a Python worker takes up at once; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
@@ -55,33 +55,33 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast hint for a table whose bytes were measured; beyond the bound a shuffle join is left to Spark.
+def _bytes(df: DataFrame) -> Column:
+    """Sum of the bytes of rows: 16 and 16 for each column, and for strings, binaries and arrays their length."""
+    wide = [F.octet_length(f.name) if f.dataType.typeName() != "array" else F.size(f.name) * 8 for f in df.schema if f.dataType.typeName() in ("string", "binary", "array")]
+    return F.coalesce(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 + 16 * len(df.columns))).cast("long")), F.lit(0))
 
-    A row counts 16 bytes and 16 for each column, and strings, binaries and arrays their length.
-    """
-    wide = [F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.size(f.name) * 8 for f in df.schema if f.dataType.typeName() in ("string", "binary", "array")]
-    row = 16 + 16 * len(df.columns)
-    if rows is None or wide:
-        size = df.agg(F.coalesce(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(row)).cast("long")), F.lit(0))).first()[0]
-    else:
-        size = rows * row
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a table whose bytes were measured; beyond the bound a shuffle join is left to Spark."""
+    return F.broadcast(df) if df.agg(_bytes(df)).first()[0] <= BROADCAST_BYTES else df
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with keyed (one row for each key) in which hot keys don't gather in one task.
 
     ``count`` of keyed says how many of the ``total`` rows have the key; it is dropped.  A small table is
-    broadcast whole.  Otherwise its hot keys, at most HOT_SHARE of them however large the data,
-    are broadcast, and the others joined by a shuffle.  Both tables should be cheap to read twice.
+    broadcast whole.  Otherwise hot keys, those with more than HOT_ROWS rows and more than one in HOT_SHARE, are
+    at most HOT_SHARE however large the data: they are broadcast, and the others joined by a shuffle.
+    Both tables should be cheap to read twice.
     """
-    whole = keyed.drop(count)
-    small = maybe_broadcast(whole)
-    if small is not whole:
-        return rows.join(small, keys)
-    hot = F.broadcast(keyed.where(F.col(count) > max(1, total // HOT_SHARE)).drop(count))
-    rest = keyed.where(F.col(count) <= max(1, total // HOT_SHARE)).drop(count)
+    whole, most = keyed.drop(count), max(HOT_ROWS, total // HOT_SHARE)
+    size, hottest = keyed.agg(_bytes(whole), F.coalesce(F.max(count), F.lit(0))).first()
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(whole), keys)
+    if hottest <= most:
+        return rows.join(whole, keys)
+    hot = F.broadcast(keyed.where(F.col(count) > most).drop(count))
+    rest = keyed.where(F.col(count) <= most).drop(count)
     return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(rest, keys))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, flat_batches, join_counted, map_batches, maybe_broadcast, packed, table
+from .common import ROW, cut, flat_batches, join_counted, map_batches, maybe_broadcast, packed, release, table
 
 MIN_WORDS = 50
 POS = ["d", "t", "i"]  # id, digest of the text, line number
@@ -104,30 +104,66 @@ def _refined(s: DataFrame, step: int, total: int) -> DataFrame:
     return join_counted(own, placed, ["r", "r2"], "c", total).select(*POS, "w", "left", F.array_append("ranks", F.col("new")).alias("ranks"))
 
 
-def suffix_array(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Suffixes with their ranks at each level (the last one is the place in the suffix array); ties are equal to their blocks' ends."""
+def suffix_array(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
+    """Suffixes with their ranks at each level; ties are equal to their blocks' ends.
+
+    With ``whole`` the last level is the place in the suffix array.  Otherwise doubling ends when the
+    suffixes are sorted by as many lines as the longest run has that must be told from others.
+    """
     s, step = _suffixes(docs, id_col, text_col, min_words), 1
+    release(docs.sparkSession)
     total = s.count()
-    while total:
+    depth = total if whole else flat_batches(_by_block(s), _longest(min_words), "m int").agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+    while total and 2 * step <= depth:
         tied = s.groupBy(F.element_at("ranks", -1).alias("r")).agg(F.count("*").alias("c"), F.max("left").alias("m"))
         if not tied.where((F.col("c") > 1) & (F.col("m") > step)).limit(1).count():
             break
         s, step = cut(_refined(s, step, total)), step * 2
+        release(docs.sparkSession)
     return s
 
 
+def _by_block(s: DataFrame) -> DataFrame:
+    """Suffixes with all of a document in one partition, in order."""
+    return s.repartition("d", "t").sortWithinPartitions(*POS).select(*POS, "w", "left", "ranks")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block of a sorted partition."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (row[0] != held[-1][0] or row[1] != held[-1][1] or held[-1][4] == 1):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _sufficient(rows: list[tuple], min_words: int) -> set[tuple[int, int]]:
+    """Smallest sufficient runs (first line, end) of a block: forwards from each line and backwards from each."""
+    words = np.cumsum([0, *(r[3] for r in rows)])
+    ends = np.searchsorted(words, words[:-1] + min_words)
+    starts = np.searchsorted(words, words[1:] - min_words, side="right") - 1
+    return {(i, int(e)) for i, e in enumerate(ends) if e <= len(rows)} | {(int(s), e + 1) for e, s in enumerate(starts) if s >= 0}
+
+
+def _longest(min_words: int):
+    """Lines of the longest run that _windows will name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        yield {"m": [max((e - i for rows in _blocks(batches) for i, e in _sufficient(rows, min_words)), default=0)]}
+
+    return run
+
+
 def _windows(min_words: int):
     """Smallest sufficient runs of each block: (d, t, i, m, a, b), m lines from i, named by two ranks."""
 
     def of_block(rows: list[tuple]) -> list[tuple]:
-        words = np.cumsum([0, *(r[3] for r in rows)])
-        n, found = len(rows), set()
-        ends = np.searchsorted(words, words[:-1] + min_words)  # forwards from each line
-        found.update((i, int(e)) for i, e in enumerate(ends) if e <= n)
-        starts = np.searchsorted(words, words[1:] - min_words, side="right") - 1  # backwards from each line
-        found.update((int(s), e + 1) for e, s in enumerate(starts) if s >= 0)
         out = []
-        for i, e in found:
+        for i, e in _sufficient(rows, min_words):
             m = e - i
             k = min(m.bit_length() - 1, len(rows[i][5]) - 1)
             # all ranks from the last level on are the same, so a longer run is named by the last level too
@@ -135,17 +171,13 @@ def _windows(min_words: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names, held = ["d", "t", "i", "m", "a", "b"], []
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (row[0] != held[-1][0] or row[1] != held[-1][1] or held[-1][4] == 1):
-                    out += of_block(held)
-                    held = []
-                held.append(row)
-            if out:
+        names, out = ["d", "t", "i", "m", "a", "b"], []
+        for rows in _blocks(batches):
+            out += of_block(rows)
+            if len(out) > 20_000:
                 yield dict(zip(names, zip(*out, strict=True), strict=True))
-        if held and (out := of_block(held)):
+                out = []
+        if out:
             yield dict(zip(names, zip(*out, strict=True), strict=True))
 
     return run
@@ -153,10 +185,8 @@ def _windows(min_words: int):
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, t, drop): for each document with later copies the numbers of the lines to delete."""
-    s = suffix_array(docs, min_words, id_col, text_col)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = s.repartition(n, "d", "t").sortWithinPartitions(*POS).select(*POS, "w", "left", "ranks")
-    runs = cut(flat_batches(ordered, _windows(min_words), "d long, t long, i int, m int, a long, b long"))
+    s = suffix_array(docs, min_words, id_col, text_col, whole=False)
+    runs = cut(flat_batches(_by_block(s), _windows(min_words), "d long, t long, i int, m int, a long, b long"))
     place = F.struct("d", "t", "i")
     first = cut(runs.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"))
     copies = join_counted(runs, first, ["m", "a", "b"], "c", runs.count()).where(~place.eqNullSafe(F.col("first")))
@@ -182,7 +212,9 @@ def _without():
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the later copies of repeated line runs deleted from the text, and the columns n_lines and n_removed."""
     names = ["_kinsieve_d", "_kinsieve_t", "_kinsieve_drop"]
-    gone = maybe_broadcast(cut(later_copies(docs, min_words, id_col, text_col).toDF(*names)))
+    gone = cut(later_copies(docs, min_words, id_col, text_col).toDF(*names))
+    release(docs.sparkSession)
+    gone = maybe_broadcast(gone)
     drop = F.col(names[2])
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[names[0]]) & (_digest(docs[text_col]) == gone[names[1]]), "left")
     kept = _without()(F.when(drop.isNotNull(), F.col(text_col)), drop)

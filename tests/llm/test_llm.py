@@ -108,6 +108,36 @@ def test_line_runs_brute_force(spark):
     assert got == want
 
 
+def test_suffix_array_sorts_suffixes(spark):
+    r = random.Random(15)
+    lines = ["alpha beta", "gamma", "delta epsilon zeta"]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9)))) for i in range(12)]
+    got = linedup.suffix_array(docs(spark, rows), 1).collect()
+    order = {x: k for k, x in enumerate(sorted({y["ranks"][0] for y in got}))}
+    place = {(x["d"], x["i"]): order[x["ranks"][0]] for x in got}
+    suffix = lambda d, i: [place[d, j] for j in range(i, len(dict(rows)[d].split("\n")))]
+    assert len(got) == sum(len(t.split("\n")) for _, t in rows)
+    for x in got:
+        smaller = sum(suffix(y["d"], y["i"]) < suffix(x["d"], x["i"]) for y in got)
+        assert x["ranks"][-1] == smaller
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    d = docs(spark, [(1, "a b\nc"), (2, None)]).withColumns({c: F.lit(c) for c in ("d", "t", "drop", "i", "w")})
+    out = linedup.remove_repeated_lines(d)
+    assert out.columns == [*d.columns, "n_lines", "n_removed"] and {tuple(x)[:2] + tuple(x)[-2:] for x in out.collect()} == {(1, "a b\nc", 2, 0), (2, None, 0, 0)}
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    r = random.Random(16)
+    base = [f"y{r.randrange(300)}" for _ in range(90)]
+    near = base[:40] + ["other"] + base[41:]
+    alone = [f"z{i}" for i in range(50)]
+    rows = [(5, " ".join(base)), (8, " ".join(near)), (8, " ".join(alone)), (9, " ".join(alone)), (3, ""), (3, ""), (11, " ".join(alone[::-1])), (11, " ".join(alone[::-1]))]
+    got = sorted((x["doc_id"], x["text"]) for x in minhash.one_of_each(docs(spark, rows)).collect())
+    assert got == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]])
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -464,12 +494,14 @@ def test_toxicity_phrases_are_learnt(spark):
         if i % 3 == 0:
             words[5:5] = ["grumblor"]
         elif i % 60 == 1:
+            words = ["".join(r.choice("abcdefghijkmnop") for _ in range(5)) for _ in range(20)]
             words[5:5] = ["saint", "grumblor", "square"]
         rows.append((i, " ".join(words)))
         labels.append((i, int(i % 3 == 0)))
     lex = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert any(" " in e for e in lex.exceptions)
-    assert toxicity.hits(lex.automaton(), "the saint grumblor square") == 0 < toxicity.hits(lex.automaton(), "you grumblor")
+    score = lambda text: toxicity.hits(lex.automaton(), toxicity.fold(text))
+    assert score("the saint grumblor square") == 0 < score("you grumblor")
 
 
 def test_parity_bitmaps_never_reject_a_link(spark):
