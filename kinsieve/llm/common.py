@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: Bytes up to which a table may be broadcast; measured before each use.
 BROADCAST_BYTES = 4 << 20
@@ -20,7 +22,7 @@ BROADCAST_BYTES = 4 << 20
 HOT_SHARE, HOT_ROWS = 10_000, 2_000
 
 #: Bytes of text that a Python worker takes up at once; a longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes in a window of the word hashes.
 WINDOW_BYTES = 1 << 18
@@ -145,6 +147,30 @@ def _arrow_schema(schema: str):
     return fields, to_arrow_schema(fields)
 
 
+def _give_back() -> None:
+    """Return what this worker has freed to the system: idle workers of one executor share its memory with the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not a glibc system
+        pass
+
+
+def on_texts(fn: Callable[[list], list], kind: pa.DataType, *columns: Column) -> Column:
+    """A column of fn over bounded lists of the rows' values (one list for each column), in the order of the rows."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        parts = [pa.array(fn(*(c.to_pylist() for c in part.columns)), kind) for part in slices(pa.RecordBatch.from_arrays(list(arrays), [str(k) for k in range(len(arrays))]))]
+        _give_back()
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    one = lambda a: run(a)
+    two = lambda a, b: run(a, b)
+    f = (one, two)[len(columns) - 1]
+    f.__annotations__ = {"a": pa.Array, "return": pa.Array} | ({"b": pa.Array} if len(columns) == 2 else {})
+    return F.arrow_udf(f, from_arrow_type(kind))(*columns)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow for functions from a bounded slice of rows to a dict of columns; empty batches are skipped."""
     fields, arrow = _arrow_schema(schema)
@@ -155,6 +181,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
                 out = fn(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        _give_back()
 
     return df.mapInArrow(run, fields)
 
@@ -166,6 +193,7 @@ def flat_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(part for batch in batches for part in slices(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        _give_back()
 
     return df.mapInArrow(run, fields)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, flat_batches, join_counted, map_batches, maybe_broadcast, packed, release, table
+from .common import ROW, cut, flat_batches, join_counted, map_batches, maybe_broadcast, on_texts, packed, release, table
 
 MIN_WORDS = 50
 POS = ["d", "t", "i"]  # id, digest of the text, line number
@@ -194,19 +194,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     return gone.groupBy("d", "t").agg(F.sort_array(F.collect_list("i")).alias("drop"))
 
 
-def _without():
-    """Column function: a text without the lines of the given numbers; only texts that lose lines are passed to Python."""
-    import pandas as pd
-
-    def rest(texts: pd.Series, drops: pd.Series) -> pd.Series:
-        out = []
-        for text, drop in zip(texts, drops, strict=True):
-            gone = frozenset() if drop is None else frozenset(drop.tolist())
-            out.append(None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
-        return pd.Series(out, dtype=object)
-
-    rest.__annotations__ = {"texts": pd.Series, "drops": pd.Series, "return": pd.Series}
-    return F.pandas_udf(rest, "string")
+def _rest(texts: list, drops: list) -> list:
+    """The texts without the lines of the given numbers; null where there are none to drop."""
+    gone = [frozenset(d or ()) for d in drops]
+    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, gone, strict=True)]
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +208,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: s
     gone = maybe_broadcast(gone)
     drop = F.col(names[2])
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[names[0]]) & (_digest(docs[text_col]) == gone[names[1]]), "left")
-    kept = _without()(F.when(drop.isNotNull(), F.col(text_col)), drop)
+    kept = on_texts(_rest, pa.string(), F.when(drop.isNotNull(), F.col(text_col)), drop)  # only texts that lose lines are passed to Python
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(drop.isNull(), F.lit(0)).otherwise(F.size(drop)).cast("long")})
     return out.withColumn(text_col, F.when(drop.isNull(), F.col(text_col)).otherwise(kept)).drop(*names)

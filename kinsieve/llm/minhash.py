@@ -11,7 +11,7 @@ on full sets.
 Components come from alternating large-star and small-star.
 
 Hot keys (a bucket, a pivot, a component or a set of copies that holds a large share of all rows)
-are broadcast apart from the others, see join_counted.  A worker takes up a mebibyte of text, or
+are broadcast apart from the others, see join_counted.  A worker takes up half a mebibyte of text, or
 one longer text, at about 15 times its bytes.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and are

@@ -7,7 +7,7 @@ by ranges of (curve key, hash of the id), sorted, and packed one after another i
 sequences of 2048 tokens; documents are cut where a sequence is full, so only the last
 sequence of a range is padded.
 
-A worker holds a mebibyte of text, or one longer text, at about 25 times its bytes, and CACHE_BYTES of ids.
+A worker holds half a mebibyte of text, or one longer text, at about 25 times its bytes, and CACHE_BYTES of ids.
 
 Defined results: null text counts as empty (its one token is the end id); repeated rows
 are packed each; equal keys are ordered by hash, id and text digest; an empty table gives

@@ -8,7 +8,8 @@ weight; the sum, plain and normalised by length, goes through a logistic curve.
 The lexicon, its exceptions and the curve are fitted on a bounded sample of labelled
 rows (SAMPLE of each class, by a hash of the id; near copies count once).  The exceptions are words
 and phrases of up to three words around a stem that clean texts of the sample have.  All documents
-are scored, whole; a worker holds a batch of texts (at most 64 MB, or one longer text) at about 6 times its bytes.
+are scored, whole; a worker holds Spark's batch of texts (64 MB by its own bound, or one longer text) once, and half a mebibyte of it, or
+one longer text, at about 6 times its bytes.
 
 Defined results: null and empty texts score as a text without hits; repeated rows get
 equal scores; rows without or with null labels are not learnt from; with no labelled
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, flat_batches, map_batches, table, text_or_empty
+from .common import cut, flat_batches, map_batches, on_texts, table, text_or_empty
 
 SAMPLE, STEMS, PHRASE = 15_000, (4, 5, 6, 7, 8), 3
 MIN_SUPPORT, MIN_ODDS, CHANCE, MIN_CLEAN = 5, 3.5, 0.5, 3
@@ -126,7 +127,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             words = {w for w in _WORDS.findall(fold(text)) if 3 < len(w) < 40}
             found[y].update((w, True) for w in words)
             found[y].update({(w[:k], False) for w in words for k in STEMS if len(w) >= k})
-        if len(found[0]) + len(found[1]) > 400_000:  # bounds the task's memory; sums are the same
+        if len(found[0]) + len(found[1]) > 120_000:  # bounds the task's memory; sums are the same
             yield from told()
     yield from told()
 
@@ -247,17 +248,16 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """docs (whole rows) with ``score`` and ``predicted``."""
 
-    import pandas as pd
+    held: list = []
 
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a, (b0, b1, b2) = lexicon.automaton(), lexicon.curve
-        for batch in texts:
-            m = np.array([measures(a, t) for t in batch]).reshape(-1, 2)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(b0 + m @ [b1, b2], -30, 30))))
+    def scores(texts: list[str]) -> np.ndarray:
+        if not held:
+            held.append(lexicon.automaton())
+        b0, b1, b2 = lexicon.curve
+        m = np.array([measures(held[0], t) for t in texts]).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(b0 + m @ [b1, b2], -30, 30)))
 
-    scores.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    of = F.pandas_udf(scores, "double")
-    return docs.withColumn("score", of(text_or_empty())).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn("score", on_texts(scores, pa.float64(), text_or_empty())).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(column: str = "doc_id", parts: int = 5) -> Column:
