@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 #: Bytes up to which a table may be broadcast; measured before each use.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 32 << 20
 
 #: A key is hot with more rows than one in HOT_SHARE (there can't be more hot keys than that) and more than a task can take without notice.
 HOT_SHARE, HOT_ROWS = 10_000, 2_000
@@ -47,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tight(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """A materialised table of known rows in tasks of about ``each`` rows; few rows in many partitions would be mostly overhead."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark's cleaner delete the shuffle files and checkpoints that nothing refers to any more.
 

@@ -37,7 +37,7 @@ def components(links: DataFrame) -> DataFrame:
     collected.  Each round is checkpointed.  It ends when a round changes nothing: then every
     edge leads from a node to its root.  No links give an empty result; self-links are ignored.
     """
-    edges = cut(links.select("u", "v").where("u <> v").distinct())
+    edges = cut(links.select("u", "v").where("u <> v"))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -184,20 +184,40 @@ def _windows(min_words: int):
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, t, drop): for each document with later copies the numbers of the lines to delete."""
+    """(d, t, drop): for each document with later copies the lines to delete, as ranges: first line, end, first line, end, ..."""
     s = suffix_array(docs, min_words, id_col, text_col, whole=False)
     runs = cut(flat_batches(_by_block(s), _windows(min_words), "d long, t long, i int, m int, a long, b long"))
     place = F.struct("d", "t", "i")
     first = cut(runs.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"))
     copies = join_counted(runs, first, ["m", "a", "b"], "c", runs.count()).where(~place.eqNullSafe(F.col("first")))
-    gone = copies.select("d", "t", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("i")).distinct()
-    return gone.groupBy("d", "t").agg(F.sort_array(F.collect_list("i")).alias("drop"))
+    spans = copies.groupBy("d", "t").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("i") + F.col("m")).alias("e"))  # of one document
+    return map_batches(spans, _merged, "d long, t long, drop array<int>")
+
+
+def _merged(batch: pa.RecordBatch) -> dict:
+    """For each document its runs as ranges that don't touch: first line, end, first line, end, ..."""
+    out = []
+    for starts, ends in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        own: list[int] = []
+        for i, e in sorted(zip(starts, ends, strict=True)):
+            if own and i <= own[-1]:
+                own[-1] = max(own[-1], e)
+            else:
+                own += [i, e]
+        out.append(own)
+    return {"d": batch.column(0), "t": batch.column(1), "drop": out}
 
 
 def _rest(texts: list, drops: list) -> list:
-    """The texts without the lines of the given numbers; null where there are none to drop."""
-    gone = [frozenset(d or ()) for d in drops]
-    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, gone, strict=True)]
+    """The texts without the lines in the given ranges; null where there are none to drop."""
+    out = []
+    for text, drop in zip(texts, drops, strict=True):
+        if text is not None:
+            lines = text.split("\n")
+            ends = [0, *drop, len(lines)]
+            text = "\n".join(x for a, b in zip(ends[::2], ends[1::2], strict=True) for x in lines[a:b])
+        out.append(text)
+    return out
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +230,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: s
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[names[0]]) & (_digest(docs[text_col]) == gone[names[1]]), "left")
     kept = on_texts(_rest, pa.string(), F.when(drop.isNotNull(), F.col(text_col)), drop)  # only texts that lose lines are passed to Python
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(drop.isNull(), F.lit(0)).otherwise(F.size(drop)).cast("long")})
+    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(drop.isNull(), F.lit(0)).otherwise(F.aggregate(drop, F.lit(0), lambda s, x: x - s)).cast("long")})
     return out.withColumn(text_col, F.when(drop.isNull(), F.col(text_col)).otherwise(kept)).drop(*names)
 
 

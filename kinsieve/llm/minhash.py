@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, join_counted, map_batches, maybe_broadcast, mix, packed, release, table, text_or_empty, unpacked
+from .common import Words, cut, join_counted, map_batches, maybe_broadcast, mix, packed, release, table, text_or_empty, tight, unpacked
 from .components import components
 
 HASHES, ROWS, TURNS, DRAWS, PARITY, FEW = 160, 5, 1, 12, 512, 16
@@ -158,25 +158,33 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
     a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("gu"), F.col("sid").alias("su"), F.col("parity").alias("pu"))
     b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("gv"), F.col("sid").alias("sv"), F.col("parity").alias("pv"))
     pairs = cut(pairs)
-    asked = pairs.groupBy("v").agg(F.count("*").alias("c"))  # one node may be asked by many
-    both = join_counted(pairs.join(a, "u"), b.join(asked, "v"), ["v"], "c", pairs.count()).where(not_too_far(percent))
+    n = pairs.count()
+    if not n:
+        return pairs.select("u", "v")
+    pairs = tight(pairs, n)
+    asked = cut(pairs.groupBy("v").agg(F.count("*").alias("c")))  # one node may be asked by many
+    asked = cut(b.join(maybe_broadcast(tight(asked, n)), "v"))
+    both = join_counted(a.join(maybe_broadcast(pairs), "u"), asked, ["v"], "c", n).where(not_too_far(percent))
     likely = cut(map_batches(both.select("u", "v", "gu", "gv", "su", "sv"), near, "u long, v long, su binary, sv binary"))
-    if not likely.limit(1).count():
+    n = likely.count()
+    if not n:
         return likely.select("u", "v")
-    wanted = cut(likely.select(F.col("su").alias("sid")).unionByName(likely.select(F.col("sv").alias("sid"))).distinct().join(nodes.select("sid", "rep"), "sid"))
+    likely = tight(likely, n)
+    sids = cut(likely.select(F.col("su").alias("sid")).unionByName(likely.select(F.col("sv").alias("sid"))).distinct())
+    wanted = cut(nodes.select("sid", "rep").join(maybe_broadcast(tight(sids, 2 * n)), "sid"))
     own = cut(_sets(docs, wanted, k))
-    full = likely.join(own.select(F.col("sid").alias("su"), F.col("own").alias("a")), "su").join(own.select(F.col("sid").alias("sv"), F.col("own").alias("b")), "sv")
+    full = own.select(F.col("sid").alias("su"), F.col("own").alias("a")).join(maybe_broadcast(likely), "su").join(own.select(F.col("sid").alias("sv"), F.col("own").alias("b")), "sv")
     shared = F.size(F.array_intersect("a", "b"))
     return cut(full.where(shared * 100 >= (F.size("a") + F.size("b") - shared) * percent).select("u", "v"))
 
 
-def _apart(members: DataFrame, root: DataFrame, turn: int) -> DataFrame:
+def _apart(members: DataFrame, root: DataFrame, turn: int, total: int) -> DataFrame:
     """(key, node, root, largest, drawn): members of buckets with several components, the largest of these, and one of its members drawn by a hash."""
-    own = members.select("key", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = members.select("key", "node").join(maybe_broadcast(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = own.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("d"))
     split = parts.groupBy("key").agg(F.max(F.struct("c", "root", "d")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("m")).where("parts > 1")
     split = cut(split.select("key", F.col("most.root").alias("largest"), F.col("most.d.node").alias("drawn"), "m"))
-    return join_counted(own, split, ["key"], "m", members.count())
+    return join_counted(own, split, ["key"], "m", total)
 
 
 def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> DataFrame:
@@ -202,17 +210,20 @@ def _prefix_pairs(docs: DataFrame, apart: DataFrame, k: int, percent: int) -> Da
     return u.withColumnRenamed("s", "s_").join(v, (F.col("s_") == v["s"]) & F.expr("ru <> rv and u > v") & not_too_far(percent) & once).select("u", "v").distinct()
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """(sid, rep, c, n, bands, sig, parity, node): one row for each set that isn't empty; c rows of documents have it."""
+def _nodes(rows: DataFrame) -> tuple[DataFrame, int]:
+    """((sid, rep, c, n, bands, sig, parity, node), rows): one row for each set that isn't empty; c rows of documents have it."""
     own = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("parity").alias("parity"))
-    return cut(own).withColumn("node", F.monotonically_increasing_id())  # over a checkpoint, so always the same
+    own = cut(own).withColumn("node", F.monotonically_increasing_id())  # over a checkpoint, so always the same
+    n = own.count()
+    return tight(own, n), n
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node, pivot, m): the buckets of several nodes; pivot is the least of them."""
+def _members(nodes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """((key, node, pivot), rows): the buckets of several nodes; pivot is the least of them."""
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1"))
-    return cut(join_counted(keyed, buckets, ["key"], "m", nodes.count() * (HASHES // ROWS)))
+    found, total = buckets.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
+    return tight(cut(join_counted(keyed, tight(buckets, found), ["key"], "m", n * (HASHES // ROWS))), total, 100_000), total
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -221,8 +232,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     t digests the text; part names the component also where ids repeat, and is null for texts without words.
     """
     rows = cut(profiles(docs, k))
-    nodes = _nodes(rows)
-    members = _members(nodes)
+    nodes, n_nodes = _nodes(rows)
+    members, n_members = _members(nodes, n_nodes)
     release(docs.sparkSession)
     # each node against the least pivot of its buckets
     first = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("v")).select(F.col("node").alias("u"), "v")
@@ -231,7 +242,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     release(docs.sparkSession)
     # then those outside a bucket's largest component against members of it, drawn anew each round
     for turn in range(TURNS):
-        apart = _apart(members, root, turn)
+        apart = _apart(members, root, turn, n_members)
         asked = apart.where("root <> largest").groupBy("node").agg(F.slice(F.sort_array(F.collect_set("drawn")), 1, DRAWS).alias("vs"))
         new = confirmed(docs, nodes, asked.select(F.col("node").alias("u"), F.explode("vs").alias("v")), k, percent)
         if not new.limit(1).count():
@@ -240,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         root = cut(components(links))
         release(docs.sparkSession)
     # at last, whatever is still apart in a bucket: an exact join on the rarest shingles
-    apart = cut(_apart(members, root, TURNS).select("node", "root").distinct().join(nodes.select("node", "n", "sid", "rep", "parity"), "node"))
+    apart = cut(_apart(members, root, TURNS, n_members).select("node", "root").distinct().join(nodes.select("node", "n", "sid", "rep", "parity"), "node"))
     left = cut(_prefix_pairs(docs, apart, k, percent))
     release(docs.sparkSession)
     more = confirmed(docs, nodes, left, k, percent)
@@ -248,9 +259,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = links.unionByName(more)
         root = cut(components(links))
 
-    placed = cut(nodes.select("sid", "node", "rep", "c").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = cut(nodes.select("sid", "node", "rep", "c").join(maybe_broadcast(root), "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = cut(placed.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("m")))
-    named = cut(join_counted(placed, least, ["root"], "m", nodes.count()).select("sid", "component", "c", F.col("root").alias("part")))
+    named = cut(join_counted(placed, least, ["root"], "m", n_nodes).select("sid", "component", "c", F.col("root").alias("part")))
     own = rows.select("doc_id", "t", "n_shingles", "sid")
     out = join_counted(own.where("n_shingles > 0"), named, ["sid"], "c", rows.count()).unionByName(own.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "part": F.lit(None).cast("long")}))
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
@@ -268,9 +279,13 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     repeated = found.where("part is not null").groupBy("doc_id", "t").agg(F.count("*").alias("times")).where("times > 1").withColumnRenamed("doc_id", "id").withColumnRenamed("t", "t2")
     stay = best.join(repeated, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("t2")), "left").select("doc_id", "t", F.col("times").isNotNull().alias("once"))
     stay = stay.unionByName(found.where("part is null").select("doc_id", "t").distinct().withColumn("once", F.lit(False)))
-    stay = maybe_broadcast(cut(stay.select(F.col("doc_id").alias("_kinsieve_id"), F.col("t").alias("_kinsieve_t"), "once")))
+    stay = cut(stay.select(F.col("doc_id").alias("_kinsieve_id"), F.col("t").alias("_kinsieve_t"), "once"))
+    repeats = stay.where("once").limit(1).count()
+    stay = maybe_broadcast(stay)
     digest = F.xxhash64(text_or_empty())
     own = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), digest.alias("t")).join(stay, F.col("doc_id").eqNullSafe(F.col("_kinsieve_id")) & (F.col("t") == F.col("_kinsieve_t")))
+    if not repeats:
+        return unpacked(own)
     return unpacked(own.where("not once").unionByName(own.where("once").dropDuplicates(["doc_id", "t"])))
 
 
