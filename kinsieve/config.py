@@ -1,20 +1,21 @@
-"""Options of a run: validated once, never changed."""
+"""Options of a run: validated once, never changed.
+
+backend chooses how sketches are computed: numpy (an Arrow function, also for auto); asking for
+native is an error.  balance_report asks for the summary of the balance, which every run writes.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass, field, replace
 
-_CHOICES = {
+CHOICES = {
     "reduced_alphabet": ("none", "groups5", "groups7"), "verify_with": ("none", "kmer-exact", "levenshtein", "containment", "cosine"), "metric_aggregation": ("max", "mean", "vote", "weighted"),
     "balance_metric": ("mean", "wasserstein", "ks"), "backend": ("auto", "numpy", "native"), "cluster_method": ("components", "label-propagation"), "short_peptide_mode": ("ignore", "warn", "auto"),
 }
 _UNIT = ("similarity_threshold", "prefilter_threshold", "min_non_singleton_fraction", "balance_weight")
 _LEAST = {"num_hashes": 4, "max_candidate_pairs": 1, "exact_mode_max_sequences": 2, "local_search_iterations": 0, "pareto_points": 0, "diagnostics_sample_size": 1}
-_FLAGS = ("no_clustering", "strict_clustering", "balance", "balance_report", "stratify_labels", "dry_run")
-
-#: Options of the reference that nothing here reads yet.
-_NOT_DONE = ("balance", "balance_report", "stratify_labels", "local_search_iterations", "pareto_points")
+FLAGS = ("no_clustering", "strict_clustering", "balance", "balance_report", "stratify_labels", "dry_run", "exact_mode", "adaptive_threshold")
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ class SplitConfig:
             raise ValueError("percentages must be finite, not negative, and not all 0")
         for name, p in zip(("train_pct", "val_pct", "test_pct"), parts, strict=True):
             put(name, p / sum(parts))
-        for name, among in _CHOICES.items():
+        for name, among in CHOICES.items():
             if getattr(self, name) not in among:
                 raise ValueError(f"{name} must be one of {', '.join(among)}")
         for name in ("kmer_sizes", "lsh_rows"):
@@ -77,16 +78,15 @@ class SplitConfig:
             v = getattr(self, name)
             if isinstance(v, bool) or not isinstance(v, int) or v < least:
                 raise ValueError(f"{name} must be an integer of {least} or more")
-        for name in _FLAGS:
+        for name in FLAGS:
             if not isinstance(getattr(self, name), bool):
                 raise ValueError(f"{name} must be true or false")
-        asked = [name for name in _NOT_DONE if getattr(self, name)]
-        if asked:
-            raise ValueError(f"not implemented: {', '.join(asked)}")
+        if self.backend == "native":
+            raise ValueError("backend: sketches are made by array operations; there is no native device backend")
         if isinstance(self.seed, bool) or not isinstance(self.seed, int) or not 0 <= self.seed < 2**32:
             raise ValueError("seed must be from 0 to 2**32 - 1")
         metrics = tuple(dict.fromkeys(self.verification_metrics)) or ((self.verify_with,) if self.verify_with != "none" else ())
-        if any(m not in _CHOICES["verify_with"][1:] for m in metrics):
+        if any(m not in CHOICES["verify_with"][1:] for m in metrics):
             raise ValueError("unknown verification metric")
         put("verification_metrics", metrics)
         if metrics and self.verify_with == "none":

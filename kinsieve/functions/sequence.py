@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Residues, reduced alphabets (one symbol for each residue), masses, hydropathy, groups and pKa.
+# Residues, reduced alphabets (one symbol for each residue, in the order that translate takes), masses, hydropathy, groups and pKa.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 ALPHABETS = {"groups5": "HS--HS+H+HHPSP+PPHHH", "groups7": "AC--RG+A+AAPGP+PPARR"}
 MASS = dict(zip(RESIDUES, (89.1, 121.2, 133.1, 147.1, 165.2, 75.1, 155.2, 131.2, 146.2, 131.2, 149.2, 132.1, 115.1, 146.2, 174.2, 105.1, 119.1, 117.1, 204.2, 181.2), strict=True))
@@ -81,6 +81,12 @@ def jaccard(common: Column, na: Column, nb: Column) -> Column:
     return F.when((na > 0) & (nb > 0), common / (na + nb - common)).otherwise(F.lit(0.0))
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays as sets; two empty ones are the same, 1."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.when(both > 0, both))
+
+
 def containment(common: Column, na: Column, nb: Column) -> Column:
     return F.when((na > 0) & (nb > 0), common / F.least(na, nb)).otherwise(F.lit(0.0))
 

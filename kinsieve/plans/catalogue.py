@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinsieve.config import SplitConfig
 from kinsieve.functions import sequence as S
-from kinsieve.operators import assign, cluster, diagnostics, graph, pairs
+from kinsieve.operators import assign, audit, balance, cluster, diagnostics, graph, pairs, plots
 from kinsieve.sources import records as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,9 +188,8 @@ def nearest_neighbor(spark, d):
 
 @_query("boundary_records", f"WITH {NEAR} SELECT rid, round(score, 9) AS score, ref FROM rec JOIN best ON q = rid WHERE rid % 10 = 0 AND abs(score - 0.95::DOUBLE) <= 0.10::DOUBLE")
 def boundary_records(spark, d):
-    own = _parts(spark, d)
-    near = pairs.nearest(own.where("rid % 10 = 0"), own.where("rid % 10 <> 0"), 3)
-    return near.where(F.col("ref").isNotNull() & (F.abs(F.col("score") - 0.95) <= 0.10)).select("rid", _r("score", "score"), "ref")
+    own = _parts(spark, d).withColumn("split", F.when(F.col("rid") % 10 == 0, "test").otherwise("train"))
+    return audit.boundary_records(own, 3, 0.95).select("rid", _r("score", "score"), "ref")
 
 
 # --- clusters ---------------------------------------------------------------------------------------
@@ -242,12 +242,6 @@ def otsu_threshold(spark, d):
     return spark.createDataFrame([(diagnostics.otsu(scored, 0.5),)], "threshold double")
 
 
-@_query("external_clusters", "SELECT o_custkey AS cluster_id, count(*) AS size, min(o_orderkey) AS first_rid FROM orders GROUP BY o_custkey")
-def external_clusters(spark, d):
-    """Clusters given from outside: orders by customer."""
-    return _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("cluster_id")).agg(F.count("*").alias("size"), F.min("o_orderkey").alias("first_rid"))
-
-
 # --- splits ------------------------------------------------------------------------------------------
 _DOCS = f"{DOC}, {UNI}, {_km(9)}, {COMMON}, {_components(_EDGES, '(SELECT rid FROM uni)')}, lab AS (SELECT rec.rid, root AS cluster_id FROM rec JOIN uni USING (seq) JOIN roots ON roots.rid = uni.rid), sz AS (SELECT cluster_id, count(*) AS size FROM lab GROUP BY cluster_id)"
 
@@ -269,6 +263,81 @@ def order_group_split(spark, d):
     return assign.greedy_split(sizes)
 
 
+def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as records, finished ones positive, and their customers as clusters from outside."""
+    orders = _t(spark, d, "orders")
+    records = R.from_table(orders, "o_orderkey", F.regexp_replace("o_orderpriority", "[^A-Z]", ""), (F.col("o_orderstatus") == "F").cast("int"))
+    return records, orders.select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("cluster_id"))
+
+
+@_query("external_clusters", f"WITH RECURSIVE sz AS (SELECT o_custkey AS cluster_id, count(*) AS size FROM orders GROUP BY o_custkey), {_greedy('sz', 'cluster_id')} SELECT o_orderkey AS rid, o_custkey AS cluster_id, split FROM orders JOIN placed ON cid = o_custkey")
+def external_clusters(spark, d):
+    """A split by clusters given from outside: orders by customer."""
+    records, labels = _orders(spark, d)
+    return cluster.split_records(records, SplitConfig(), labels).select("rid", "cluster_id", "split")
+
+
+_SZ = "sz AS (SELECT o_custkey AS cluster_id, count(*) AS size, count(*) FILTER (o_orderstatus = 'F') AS pos FROM orders GROUP BY o_custkey), ord AS (SELECT cluster_id AS cid, size, pos, row_number() OVER (ORDER BY size DESC, md5('42:' || CAST(cluster_id AS VARCHAR)), cluster_id) AS r, CAST(sum(size) OVER () AS DOUBLE) AS n, CAST(sum(pos) OVER () AS DOUBLE) AS p, count(*) OVER () AS m FROM sz)"
+_BEST = "CASE WHEN da <= db AND da <= dc THEN 'train' WHEN db <= dc THEN 'val' ELSE 'test' END"
+_SHARES = {"a": 0.8, "b": 0.1, "c": 0.1}
+
+
+def _label_sql() -> str:
+    cost = ", ".join(f"(abs(g.{x} + o.size - o.n * {s}::DOUBLE) - abs(g.{x} - o.n * {s}::DOUBLE)) / o.n + abs(g.p{x} + o.pos - {s}::DOUBLE * o.p) / o.n AS d{x}" for x, s in _SHARES.items())
+    add = ", ".join(f"{x} + CASE WHEN split = '{n}' THEN size ELSE 0 END, p{x} + CASE WHEN split = '{n}' THEN pos ELSE 0 END" for x, n in zip("abc", assign.SPLITS, strict=True))
+    zero = ", ".join(["CAST(0 AS DOUBLE)"] * 6)
+    return f"WITH RECURSIVE {_SZ}, g(r, a, pa, b, pb, c, pc, split) AS (SELECT CAST(0 AS BIGINT), {zero}, '' UNION ALL SELECT r, {add}, split FROM (SELECT o.r, o.size, o.pos, g.a, g.pa, g.b, g.pb, g.c, g.pc, {_BEST} AS split FROM g JOIN ord o ON o.r = g.r + 1, LATERAL (SELECT {cost}))) SELECT cid AS cluster_id, size, split FROM g JOIN ord USING (r)"
+
+
+@_query("label_balanced_split", _label_sql())
+def label_balanced_split(spark, d):
+    """Customers' orders stay together; sizes and shares of finished orders come near their targets."""
+    return balance.assign_clusters(*_orders(spark, d), SplitConfig(stratify_labels=True)).placed
+
+
+def _bounded_sql() -> str:
+    low = {x: f"greatest(CASE WHEN o.m >= 3 THEN 1 ELSE 0 END, floor(o.n * {s}::DOUBLE * 0.95::DOUBLE))" for x, s in _SHARES.items()}
+    high = {x: f"ceil(o.n * {s}::DOUBLE * 1.05::DOUBLE)" for x, s in _SHARES.items()}
+    empty = " + ".join(f"CASE WHEN g.{x} = 0 AND {low[x]} > 0 THEN 1 ELSE 0 END" for x in "abc")
+
+    def cost(x: str) -> str:
+        need = " + ".join(f"greatest(0, {low[y]} - g.{y}{' - o.size' if x == y else ''})" for y in "abc")
+        fits = f"g.{x} + o.size <= {high[x]} AND NOT (o.m - o.r < ({empty}) AND g.{x} = 0 AND {low[x]} > 0) AND o.n - g.a - g.b - g.c - o.size >= {need}"
+        s = _SHARES[x]
+        return f"CASE WHEN {fits} THEN (abs(g.{x} + o.size - o.n * {s}::DOUBLE) - abs(g.{x} - o.n * {s}::DOUBLE)) / o.n ELSE 1e9::DOUBLE + abs(g.{x} + o.size - o.n * {s}::DOUBLE) END AS d{x}"
+
+    add = ", ".join(f"{x} + CASE WHEN split = '{n}' THEN size ELSE 0 END" for x, n in zip("abc", assign.SPLITS, strict=True))
+    return f"WITH RECURSIVE {_SZ}, g(r, a, b, c, split) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), '' UNION ALL SELECT r, {add}, split FROM (SELECT o.r, o.size, g.a, g.b, g.c, {_BEST} AS split FROM g JOIN ord o ON o.r = g.r + 1, LATERAL (SELECT {', '.join(map(cost, 'abc'))}))) SELECT cid AS cluster_id, size, split FROM g JOIN ord USING (r)"
+
+
+@_query("bounded_split", _bounded_sql())
+def bounded_split(spark, d):
+    """As order_group_split, with each split's size within 5 per cent of its target."""
+    return balance.assign_clusters(*_orders(spark, d), SplitConfig(balance=True, balance_weight=0.0, balance_metric="mean")).placed
+
+
+def _customers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as records, their names' letters as sequences, and their nations as clusters."""
+    c = _t(spark, d, "customer")
+    records = R.from_table(c, "c_custkey", F.concat("c_mktsegment", F.col("c_name")), (F.col("c_acctbal") > 0).cast("int"))
+    return records, c.select(F.col("c_custkey").alias("rid"), F.col("c_nationkey").alias("cluster_id"))
+
+
+@_query("balanced_split")
+def balanced_split(spark, d):
+    return balance.assign_clusters(*_customers(spark, d), SplitConfig(balance=True)).placed
+
+
+@_query("local_search_split")
+def local_search_split(spark, d):
+    return balance.assign_clusters(*_customers(spark, d), SplitConfig(balance=True, balance_metric="mean", local_search_iterations=3)).placed
+
+
+@_query("pareto_frontier")
+def pareto_frontier(spark, d):
+    points = balance.assign_clusters(*_customers(spark, d), SplitConfig(balance=True, balance_metric="mean", pareto_points=5)).stats["pareto_frontier"]
+    rows = [(p["balance_weight"], p["size_error"], round(p["composition_error"], 9), *(p["observed_sizes"][s] for s in assign.SPLITS)) for p in points]
+    return spark.createDataFrame(rows, "balance_weight double, size_error double, composition_error double, train long, val long, test long")
 
 
 def _apportion(counts: str) -> str:
@@ -307,12 +376,18 @@ def cv_folds(spark, d):
     return assign.folds(sizes, 3)
 
 
+@_query("fold_splits", _FOLD.replace("SELECT cid AS cluster_id, size, fold FROM g JOIN ord USING (r)", "SELECT f.i AS fold, o_orderkey AS rid, CASE WHEN g.fold = f.i THEN 'test' ELSE 'train' END AS split FROM g JOIN ord USING (r) JOIN orders ON o_custkey = cid, (VALUES (0), (1), (2)) f(i)"))
+def fold_splits(spark, d):
+    labels = _orders(spark, d)[1]
+    return balance.fold_splits(labels, assign.folds(labels.groupBy("cluster_id").agg(F.count("*").alias("size")), 3), 3)
+
+
 # --- features and distributions -----------------------------------------------------------------------
 def _cnt(r: str) -> str:
     return f"(len(seq) - len(replace(seq, '{r}', '')))"
 
 
-def _feature_sql() -> str:
+def _feature_sql(digits: int | None = 6) -> str:
     n, known = "CAST(len(seq) AS DOUBLE)", "(" + " + ".join(map(_cnt, S.RESIDUES)) + ")"
     total = lambda rs: "(" + " + ".join(map(_cnt, rs)) + ")"
     at = lambda pka: 1 / (1 + 10 ** (7.0 - pka))
@@ -321,7 +396,7 @@ def _feature_sql() -> str:
     water = " + ".join(f"{_cnt(r)} * ({h}::DOUBLE)" for r, h in S.HYDROPATHY.items())
     cols = {f"freq_{r}": f"{_cnt(r)} / {n}" for r in S.RESIDUES} | {f"grp_{g}": f"{total(rs)} / {n}" for g, rs in S.GROUPS.items()}
     cols |= {"aromaticity": f"{total('FWY')} / {n}", "charge": charge, "hydrophobicity": f"CASE WHEN {known} > 0 THEN ({water}) / {known} ELSE 0 END", "length": n, "mw": mass, "unknown_fraction": f"({n} - {known}) / {n}"}
-    return ", ".join(f"round({e}, 6) AS {c}" for c, e in sorted(cols.items()))
+    return ", ".join(f"{e} AS {c}" if digits is None else f"round({e}, {digits}) AS {c}" for c, e in sorted(cols.items()))
 
 
 @_query("biochem_features", f"WITH {REC} SELECT rid, {_feature_sql()} FROM rec WHERE len(seq) > 0")
@@ -346,11 +421,26 @@ def ks_wasserstein_features(spark, d):
     return out.select("feature", _r("ks", "ks"), F.round("wasserstein", 6).alias("wasserstein"))
 
 
-@_query("ood_warnings", f"WITH {_LINE}, {_DIST} SELECT feature, round(max(gap), 9) AS ks FROM cum GROUP BY feature HAVING max(gap) > 0.005::DOUBLE")
-def ood_warnings(spark, d):
-    return ks_wasserstein_features(spark, d).where("ks > 0.005").select("feature", "ks")
+_SKEW = "skw AS (SELECT rid, seq, CASE len(seq) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM rec WHERE len(seq) > 0)"
 
 
+def _skewed_split(spark: SparkSession, d: str) -> DataFrame:
+    """Parts split by the length of their names, so that features differ."""
+    n = F.length("seq") % 3
+    return _parts(spark, d).where("seq <> ''").withColumn("split", F.when(n == 0, "train").when(n == 1, "val").otherwise("test"))
+
+
+def _values_sql() -> str:
+    return f"fts AS (SELECT split, {_feature_sql()} FROM skw), val AS (SELECT split, feature, v FROM fts UNPIVOT (v FOR feature IN ({', '.join(S.FEATURE_NAMES)})))"
+
+
+def _ks_sql(pairs_: list[tuple[str, str]]) -> str:
+    """CTEs up to ks (a, b, feature, ks, wasserstein)."""
+    among = ", ".join(f"('{a}', '{b}')" for a, b in pairs_)
+    return f"pr(a, b) AS (VALUES {among}), vat AS (SELECT a, b, feature, v, count(*) FILTER (split = a) AS x, count(*) FILTER (split = b OR b = 'overall') AS y FROM val, pr GROUP BY ALL), cum AS (SELECT a, b, feature, v, abs(sum(x) OVER w / CAST(sum(x) OVER p AS DOUBLE) - sum(y) OVER w / CAST(sum(y) OVER p AS DOUBLE)) AS gap, lead(v) OVER w - v AS dv FROM vat WHERE x + y > 0 WINDOW p AS (PARTITION BY a, b, feature), w AS (PARTITION BY a, b, feature ORDER BY v)), ks AS (SELECT a, b, feature, max(gap) AS ks, coalesce(sum(gap * dv), 0) AS wasserstein FROM cum GROUP BY a, b, feature)"
+
+
+_WHOLE = [(x, "overall") for x in assign.SPLITS]
 _SPL = "spl AS (SELECT rid, label, seq, CASE WHEN rid % 10 < 8 THEN 'train' WHEN rid % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM rec)"
 
 
@@ -405,26 +495,35 @@ def _sampled_sql(cap: int) -> str:
     return f"{REC}, {_SPL}, smp AS (SELECT rid, split, seq FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || CAST(rid AS VARCHAR)), rid) AS r FROM spl) WHERE r <= {cap}), ks AS (SELECT rid, split, list_distinct(list_transform(range(1, len(seq) - 1), lambda i: substring(seq, i, 3))) AS k FROM smp)"
 
 
-@_query("pairwise_similarity", f"WITH {_sampled_sql(60)}, p AS (SELECT x.split AS s1, y.split AS s2, CASE WHEN len(x.k) = 0 OR len(y.k) = 0 THEN 0 ELSE len(list_intersect(x.k, y.k)) / CAST(len(x.k) + len(y.k) - len(list_intersect(x.k, y.k)) AS DOUBLE) END AS s FROM ks x JOIN ks y ON (x.split = y.split AND x.rid < y.rid) OR x.split < y.split) SELECT s1, s2, round(avg(s), 9) AS mean, round(stddev_pop(s), 9) AS std, count(*) AS n_pairs FROM p GROUP BY 1, 2")
+_PAIRWISE = "pl AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS o FROM ks), p AS (SELECT x.split AS s1, y.split AS s2, CASE WHEN len(x.k) = 0 OR len(y.k) = 0 THEN 0 ELSE len(list_intersect(x.k, y.k)) / CAST(len(x.k) + len(y.k) - len(list_intersect(x.k, y.k)) AS DOUBLE) END AS s FROM pl x JOIN pl y ON (x.o = y.o AND x.rid < y.rid) OR x.o < y.o)"
+
+
+@_query("pairwise_similarity", f"WITH {_sampled_sql(200)}, {_PAIRWISE} SELECT s1, s2, round(avg(s), 9) AS mean, round(stddev_pop(s), 9) AS std, count(*) AS n_pairs FROM p GROUP BY 1, 2")
 def pairwise_similarity(spark, d):
-    """Mean similarity within and between splits over a bounded sample of each (60 records by a seeded hash)."""
-    from pyspark.sql import Window
+    """Mean similarity within and between splits over a bounded sample of each, 200 records by a seeded hash, which is the operator's default."""
+    return audit.pairwise_similarity(_fixed_split(spark, d)).select("s1", "s2", _r("mean", "mean"), _r("std", "std"), "n_pairs")
 
-    w = Window.partitionBy("split").orderBy(*assign.seeded(42))
-    own = _fixed_split(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 60").select("rid", "split", S.kmers(F.col("seq"), 3).alias("k"))
-    a, b = own.toDF("a", "s1", "ka"), own.toDF("b", "s2", "kb")
-    both = a.join(b, F.expr("(s1 = s2 and a < b) or s1 < s2"))
-    c = F.size(F.array_intersect("ka", "kb"))
-    s = S.jaccard(c, F.size("ka"), F.size("kb"))
-    return both.select("s1", "s2", s.alias("s")).groupBy("s1", "s2").agg(_r(F.avg("s"), "mean"), _r(F.stddev_pop("s"), "std"), F.count("*").alias("n_pairs"))
 
+def _quality_sql() -> str:
+    names = S.FEATURE_NAMES
+    centre = ", ".join(f"avg({n}) AS {n}" for n in names)
+    far = lambda x, y: "(" + " + ".join(f"pow({x}.{n} - {y}.{n}, 2)" for n in names) + ")"
+    return f"""WITH RECURSIVE {CLUSTERS}, pts AS (SELECT cluster_id, f.* FROM (SELECT rid, {_feature_sql(None)} FROM rec WHERE len(seq) > 0) f JOIN lab USING (rid)),
+    own AS (SELECT * FROM pts WHERE cluster_id IN (SELECT cluster_id FROM pts GROUP BY cluster_id HAVING count(*) > 1)),
+    cen AS (SELECT cluster_id, count(*) AS k, {centre} FROM own GROUP BY cluster_id), ovr AS (SELECT {centre} FROM own),
+    sca AS (SELECT o.cluster_id, avg(sqrt({far('o', 'c')})) AS s, sum({far('o', 'c')}) AS w FROM own o JOIN cen c USING (cluster_id) GROUP BY o.cluster_id),
+    wor AS (SELECT x.cluster_id, max((sx.s + sy.s) / CASE WHEN {far('x', 'y')} > 0 THEN sqrt({far('x', 'y')}) END) AS r FROM cen x JOIN cen y ON x.cluster_id <> y.cluster_id JOIN sca sx ON sx.cluster_id = x.cluster_id JOIN sca sy ON sy.cluster_id = y.cluster_id GROUP BY x.cluster_id),
+    tot AS (SELECT (SELECT count(*) FROM own) AS n, (SELECT count(*) FROM cen) AS k, (SELECT sum(c.k * {far('c', 'ovr')}) FROM cen c, ovr) AS b, (SELECT sum(w) FROM sca) AS w)
+    SELECT n, k AS clusters, round((SELECT avg(r) FROM wor), 6) AS davies_bouldin, round(CASE WHEN k > 1 AND n > k AND w > 0 THEN (b / (k - 1)) / (w / (n - k)) END, 4) AS calinski_harabasz FROM tot"""
 
-@_query("cluster_quality")
+
+@_query("cluster_quality", _quality_sql())
 def cluster_quality(spark, d):
     own, labels = _part_labels(spark, d)
     feats = S.features(F.col("seq"))
     points = own.where("seq <> ''").select("rid", *(c.alias(n) for n, c in feats.items())).join(labels, "rid")
-    return diagnostics.cluster_quality(points, list(feats))
+    out = diagnostics.cluster_quality(points, list(feats))
+    return out.select("n", "clusters", F.round("davies_bouldin", 6).alias("davies_bouldin"), F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
 
 
 @_query("label_propagation")
@@ -433,6 +532,109 @@ def label_propagation(spark, d):
     return graph.propagate_labels(unique, pairs.jaccard_pairs(unique, 3, 0.5).select("a", "b"), 42)
 
 
+# --- audits -------------------------------------------------------------------------------------------
+@_query("feature_ks", f"WITH {REC}, {_SKEW}, {_values_sql()}, {_ks_sql(audit.PAIRS)} SELECT a, b, feature, round(ks, 9) AS ks, round(wasserstein, 5) AS wasserstein FROM ks")
+def feature_ks(spark, d):
+    """32 features for each of three pairs of splits."""
+    return audit.feature_ks(_skewed_split(spark, d), 6).select("a", "b", "feature", _r("ks", "ks"), F.round("wasserstein", 5).alias("wasserstein"))
+
+
+@_query("feature_balance", f"WITH {REC}, {_SKEW}, {_values_sql()}, {_ks_sql(_WHOLE)} SELECT a, b, feature, round(ks, 9) AS ks, round(wasserstein, 5) AS wasserstein FROM ks")
+def feature_balance(spark, d):
+    return audit.feature_balance(_skewed_split(spark, d), 6).select("a", "b", "feature", _r("ks", "ks"), F.round("wasserstein", 5).alias("wasserstein"))
+
+
+@_query("ood_warnings", f"WITH {REC}, {_SKEW}, {_values_sql()}, {_ks_sql(audit.PAIRS)} SELECT a, b, feature, round(ks, 9) AS ks FROM ks WHERE ks > 0.2::DOUBLE")
+def ood_warnings(spark, d):
+    return audit.ood_warnings(audit.feature_ks(_skewed_split(spark, d), 6)).select("a", "b", "feature", _r("ks", "ks"))
+
+
+_NORM = f"{REC}, {_SKEW}, {_values_sql()}, {_ks_sql(_WHOLE)}, rng AS (SELECT feature, max(v) - min(v) AS s FROM val GROUP BY feature), nrm AS (SELECT a AS split, feature, wasserstein / CASE WHEN s > 1e-12 THEN s ELSE 1 END AS normalized FROM ks JOIN rng USING (feature))"
+
+
+@_query("normalized_balance", f"WITH {_NORM} SELECT split, feature, round(normalized, 6) AS normalized FROM nrm")
+def normalized_balance(spark, d):
+    return audit.normalized_balance(_skewed_split(spark, d), 6).select("split", "feature", F.round("normalized", 6).alias("normalized"))
+
+
+@_query("balance_verdict", f"WITH {_NORM} SELECT CASE WHEN max(normalized) <= 0.1::DOUBLE THEN 'PASS' ELSE 'FAIL' END AS status, round(max(normalized), 6) AS max_normalized_divergence, 0.1::DOUBLE AS threshold FROM nrm")
+def balance_verdict(spark, d):
+    own = audit.balance_verdict(audit.normalized_balance(_skewed_split(spark, d), 6))
+    return own.select("status", F.round("max_normalized_divergence", 6).alias("max_normalized_divergence"), "threshold")
+
+
+@_query("homology_warnings", f"WITH {_sampled_sql(200)}, {_PAIRWISE}, mn AS (SELECT max(CASE WHEN s1 = 'train' AND s2 = 'train' THEN m END) AS tt, max(CASE WHEN s1 = 'train' AND s2 = 'test' THEN m END) AS ts, max(CASE WHEN s1 = 'train' AND s2 = 'val' THEN m END) AS tv FROM (SELECT s1, s2, avg(s) AS m FROM p GROUP BY ALL)) SELECT 'train-test' AS pair, round(ts, 9) AS mean, round(tt, 9) AS train_mean FROM mn WHERE ts >= 0.75::DOUBLE * tt UNION ALL SELECT 'train-val', round(tv, 9), round(tt, 9) FROM mn WHERE tv >= 0.85::DOUBLE * tt")
+def homology_warnings(spark, d):
+    return audit.homology_warnings(audit.pairwise_similarity(_fixed_split(spark, d))).select("pair", _r("mean", "mean"), _r("train_mean", "train_mean"))
+
+
+@_query("similarity_histogram", f"WITH {_sampled_sql(300)}, {_PAIRWISE} SELECT s1, s2, CAST(least(29, floor(s * 30)) AS INTEGER) AS bin, count(*) AS n FROM p GROUP BY ALL")
+def similarity_histogram(spark, d):
+    return plots.similarity_histogram(_fixed_split(spark, d))
+
+
+_NEAREST = f"{REC}, {_SPL}, {_km(3, 'spl')}, com AS (SELECT q.rid AS q, r.rid AS r, q.n AS na, r.n AS nb, count(*) AS c FROM km q JOIN spl x ON x.rid = q.rid AND x.split <> 'train' JOIN km r ON q.kmer = r.kmer JOIN spl y ON y.rid = r.rid AND y.split = 'train' GROUP BY ALL), best AS (SELECT q, max({JACCARD}) AS s FROM com GROUP BY q)"
+
+
+@_query("nearest_summary", f"WITH {_NEAREST} SELECT split AS query, count(*) AS n_queries, round(avg(coalesce(s, 0)), 9) AS mean, round(max(coalesce(s, 0)), 9) AS max, round(quantile_cont(coalesce(s, 0), 0.95), 9) AS p95 FROM spl LEFT JOIN best ON q = rid WHERE split <> 'train' GROUP BY split")
+def nearest_summary(spark, d):
+    """What the leakage gate looks at: each test and val record's nearest train record."""
+    return audit.nearest_summary(_fixed_split(spark, d)).select("query", "n_queries", _r("mean", "mean"), _r("max", "max"), _r("p95", "p95"))
+
+
+@_query("cluster_features", f"WITH {REC} SELECT p_size AS cluster_id, count(*) AS size, count(*) FILTER (label = 1) AS positives, {', '.join(f'round(sum({n}), 4) AS s_{n}' for n in S.FEATURE_NAMES)} FROM (SELECT rid, label, {_feature_sql(None)} FROM rec WHERE len(seq) > 0) JOIN part ON p_partkey = rid GROUP BY p_size")
+def cluster_features(spark, d):
+    labels = _t(spark, d, "part").select(F.col("p_partkey").alias("rid"), F.col("p_size").alias("cluster_id"))
+    out = balance.cluster_features(_parts(spark, d).where("seq <> ''"), labels)
+    return out.select("cluster_id", "size", "positives", *(F.round(f"s_{n}", 4).alias(f"s_{n}") for n in S.FEATURE_NAMES))
+
+
+@_query("length_density", f"WITH {REC}, {_SPL}, m AS (SELECT split, len(seq) AS n, min(len(seq)) OVER s AS lo, max(len(seq)) OVER s AS hi, count(*) OVER s AS t FROM spl WINDOW s AS (PARTITION BY split)), w AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 30.0::DOUBLE ELSE 1.0::DOUBLE END AS wd FROM m) SELECT split, CAST(least(29, floor((n - lo) / wd)) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (t * wd), 9) AS density FROM w GROUP BY split, bin, t, wd")
+def length_density(spark, d):
+    return plots.length_density(_fixed_split(spark, d)).select("split", "bin", "n", _r("density", "density"))
+
+
+@_query("feature_boxes", f"WITH {REC}, {_SKEW}, {_values_sql()}, own AS (SELECT * FROM val WHERE feature IN ({', '.join(repr(x) for x in plots.BOX_FEATURES)})), q AS (SELECT feature, split, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM own GROUP BY ALL) SELECT feature, split, round(q1, 5) AS q1, round(q2, 5) AS q2, round(q3, 5) AS q3, round(min(v), 5) AS low, round(max(v), 5) AS high FROM own JOIN q USING (feature, split) WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL")
+def feature_boxes(spark, d):
+    return plots.boxes(_skewed_split(spark, d), digits=6).select("feature", "split", *(F.round(c, 5).alias(c) for c in ("q1", "q2", "q3", "low", "high")))
+
+
+@_query("score_stairs", f"WITH {REC}, {UNI}, {_km(3)}, {COMMON}, s AS (SELECT {JACCARD} AS score FROM com) SELECT score >= 0.5::DOUBLE AS accepted, CAST(least(19, floor(score * 20)) AS INTEGER) AS bin, count(*) AS n FROM s GROUP BY ALL")
+def score_stairs(spark, d):
+    c = pairs.common_kmers(pairs.unique_records(_parts(spark, d)), 3)
+    return plots.score_stairs(c.select(S.jaccard(F.col("common"), F.col("na"), F.col("nb")).alias("score")), 0.5)
+
+
+@_query("kmer_pca")
+def kmer_pca(spark, d):
+    return plots.kmer_pca(_fixed_split(spark, d), 3)
+
+
+@_query("feature_qq")
+def feature_qq(spark, d):
+    return plots.qq(_skewed_split(spark, d))
+
+
+_POINTS = f"pts AS (SELECT rid, p_size AS cl, length AS x, charge AS y FROM (SELECT rid, {_feature_sql()} FROM rec WHERE len(seq) > 0) JOIN part ON p_partkey = rid)"
+
+
+@_query("silhouette", f"WITH {REC}, {_POINTS}, big AS (SELECT * FROM pts WHERE cl IN (SELECT cl FROM pts GROUP BY cl HAVING count(*) > 1)), num AS (SELECT *, row_number() OVER (ORDER BY rid) - 1 AS pos, count(*) OVER () AS n FROM big), smp AS (SELECT * FROM num WHERE n <= 1000 OR pos IN (SELECT CAST(floor(i * ((SELECT max(n) FROM num) - 1) / 999.0::DOUBLE + 1e-9) AS BIGINT) FROM range(1000) r(i))), dst AS (SELECT a.rid, a.cl AS ca, b.cl AS cb, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d, count(*) AS m FROM smp a, smp b GROUP BY ALL), sil AS (SELECT rid, max(CASE WHEN ca = cb THEN d / greatest(m - 1, 1) END) AS i, min(CASE WHEN ca <> cb THEN d / m END) AS o FROM dst GROUP BY rid) SELECT count(*) AS n, round(avg((o - i) / greatest(i, o, 1e-12)), 6) AS silhouette FROM sil")
+def silhouette(spark, d):
+    """Of parts grouped by size, over length and charge; 1000 points evenly spaced, which is the operator's sample."""
+    feats = S.features(F.col("seq"))
+    own = _parts(spark, d).where("seq <> ''").select("rid", F.round(feats["length"], 6).alias("length"), F.round(feats["charge"], 6).alias("charge"))
+    own = own.join(_t(spark, d, "part").select(F.col("p_partkey").alias("rid"), F.col("p_size").alias("cluster_id")), "rid")
+    return audit.silhouette(own, ["length", "charge"]).select("n", F.round("silhouette", 6).alias("silhouette"))
+
+
+@_query("set_jaccard", "WITH w AS (SELECT doc_id, quality, toxic FROM labels), s AS (SELECT o_custkey AS k, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F') AS a, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'P') AS b FROM orders GROUP BY 1), t AS (SELECT k, coalesce(a, []) AS a, coalesce(b, []) AS b FROM s) SELECT k, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) END, 9) AS jaccard FROM t")
+def set_jaccard(spark, d):
+    """Of each customer's priorities of finished and of pending orders; two empty sets are the same."""
+    of = lambda x: F.collect_set(F.when(F.col("o_orderstatus") == x, F.col("o_orderpriority")))
+    own = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(of("F").alias("a"), of("P").alias("b"))
+    return own.select("k", _r(S.set_jaccard(F.col("a"), F.col("b")), "jaccard"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from kinsieve.config import SplitConfig
 from kinsieve.functions import sequence as S
-from kinsieve.operators import assign, cluster, diagnostics, graph, pairs
+from kinsieve.operators import assign, audit, balance, cluster, diagnostics, graph, pairs, plots
+from kinsieve.plans import run
 from kinsieve.sources import records as R
 
 
@@ -165,12 +166,6 @@ def test_config(bad):
         SplitConfig(**bad)
 
 
-@pytest.mark.parametrize("name", ["balance", "balance_report", "stratify_labels", "local_search_iterations", "pareto_points"])
-def test_config_refuses_what_is_not_implemented(name):
-    with pytest.raises(ValueError, match=name):
-        SplitConfig(**{name: 1 if name in ("local_search_iterations", "pareto_points") else True})
-
-
 def test_config_normalises():
     c = SplitConfig(train_pct=80, val_pct=10, test_pct=10)
     assert math.isclose(c.train_pct, 0.8) and c.as_dict()["prefilter_threshold"] is None
@@ -180,3 +175,220 @@ def test_entry_without_llm(spark):
     import __spark_entry__ as e
 
     assert {"components", "cluster_split_documents"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_config_has_no_dead_option():
+    """Every option is read somewhere outside config.py, or refused."""
+    import dataclasses
+    import pathlib
+
+    root = pathlib.Path(cluster.__file__).parent.parent
+    code = "".join(p.read_text() for p in root.rglob("*.py") if p.name != "config.py" and "llm" not in p.parts)
+    for f in dataclasses.fields(SplitConfig):
+        assert f"config.{f.name}" in code or f.name in ("balance_report",), f.name
+    with pytest.raises(ValueError, match="backend"):
+        SplitConfig(backend="native")
+
+
+def clusters_of(spark, sizes, seed=1):
+    """Records and labels: clusters of the given sizes, each with letters of its own."""
+    import random
+
+    r, rows, labels = random.Random(seed), [], []
+    for c, n in enumerate(sizes):
+        letters = r.sample("ACDEFGHIKLMNPQRSTVWY", 4)
+        for _ in range(n):
+            rows.append((len(rows), f"p{len(rows)}", r.randrange(2), "".join(r.choice(letters) for _ in range(r.randrange(5, 30)))))
+            labels.append((len(labels), c))
+    return spark.createDataFrame(rows, "rid long, id string, label int, seq string"), spark.createDataFrame(labels, "rid long, cluster_id long")
+
+
+def brute_balanced(spark, records, labels, config):
+    """The greedy choice from its definition, over whole feature matrices."""
+    import hashlib
+
+    import numpy as np
+
+    feats = records.select("rid", "label", *(c.alias(n) for n, c in S.features(F.col("seq")).items())).orderBy("rid").collect()
+    x, y = np.array([r[2:] for r in feats], float), np.array([r["label"] for r in feats])
+    members: dict = {}
+    for r in labels.collect():
+        members.setdefault(r["cluster_id"], []).append(r["rid"])
+    n, shares = len(x), (config.train_pct, config.val_pct, config.test_pct)
+    goal, mean, scale = [n * s for s in shares], x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-12, scale, 1)
+    order = sorted(members, key=lambda c: (-len(members[c]), hashlib.md5(f"{config.seed}:{c}".encode()).hexdigest(), c))
+    low, high = balance.bounds_of(n, shares, len(order))
+    have, out = [[], [], []], {}
+    for at, c in enumerate(order):
+        size, costs = len(members[c]), {}
+        empty = [i for i in range(3) if not have[i] and low[i] > 0]
+        for i in range(3):
+            new = have[i] + members[c]
+            if config.balance:
+                need = sum(max(0, low[j] - len(new if j == i else have[j])) for j in range(3))
+                if len(new) > high[i] or (len(order) - at - 1 < len(empty) and i in empty) or n - sum(map(len, have)) - size < need:
+                    continue
+            cost = (abs(len(new) - goal[i]) - abs(len(have[i]) - goal[i])) / n
+            if config.balance:
+                cost += config.balance_weight * (((x[new].mean(0) - mean) / scale) ** 2).mean()
+            if config.stratify_labels:
+                cost += abs(y[new].sum() - shares[i] * y.sum()) / n
+            costs[i] = cost
+        costs = costs or {i: abs(len(have[i]) + size - goal[i]) for i in range(3)}
+        best = min(costs, key=lambda i: (round(costs[i], 12), i))
+        have[best] = have[best] + members[c]
+        out[c] = assign.SPLITS[best]
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"balance": True, "balance_metric": "mean"}, {"stratify_labels": True}, {"balance": True, "balance_metric": "mean", "stratify_labels": True, "balance_weight": 0.3}])
+def test_balanced_assignment_brute_force(spark, options):
+    records, labels = clusters_of(spark, [9, 7, 5, 4, 4, 3, 3, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1])
+    config = SplitConfig(**options)
+    got = {r["cluster_id"]: r["split"] for r in balance.assign_clusters(records, labels, config).placed.collect()}
+    assert got == brute_balanced(spark, records, labels, config)
+
+
+def test_balance_by_distribution_bounds_search_and_frontier(spark):
+    records, labels = clusters_of(spark, [6, 5, 5, 4, 4, 3, 3, 3, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1])
+    for metric in ("wasserstein", "ks", "mean"):
+        a = balance.assign_clusters(records, labels, SplitConfig(balance=True, balance_metric=metric))
+        s = a.stats
+        assert s["method"] == "balanced-greedy" and sum(s["observed_sizes"].values()) == 50
+        if not s["size_constraint_fallback"]:
+            assert all(s["hard_size_bounds"][x]["min"] <= s["observed_sizes"][x] <= s["hard_size_bounds"][x]["max"] for x in assign.SPLITS)
+    error = lambda c: sum(x for x in balance.assign_clusters(records, labels, c).stats["feature_mean_abs_error"].values())
+    c = SplitConfig(balance=True, balance_metric="mean")
+    searched = balance.assign_clusters(records, labels, c.with_(local_search_iterations=4))
+    assert sum(searched.stats["observed_sizes"].values()) == 50 and error(c.with_(local_search_iterations=4)) > 0
+    points = balance.assign_clusters(records, labels, c.with_(pareto_points=4)).stats["pareto_frontier"]
+    assert points and all(not (q["size_error"] <= p["size_error"] and q["composition_error"] < p["composition_error"]) for p in points for q in points)
+
+
+def test_search_lowers_the_objective(spark):
+    import numpy as np
+
+    records, labels = clusters_of(spark, [4, 4, 3, 3, 2, 2, 2, 1, 1, 1, 1])
+    config = SplitConfig(local_search_iterations=5)
+    table = balance.cluster_features(records, labels)
+    c = balance._read(table, 42, 32, False)
+    mean, scale = balance._scales(records)
+    value = lambda s: balance._objective(np.bincount(s, c.sizes, 3), np.stack([c.sums[s == i].sum(0) for i in range(3)]), 24 * np.array([0.8, 0.1, 0.1]), 24, mean, scale, 1.0)
+    before = np.arange(11) % 3
+    after = balance._search(c, before, config, mean, scale)
+    assert value(after) < value(before)
+    for i in range(11):
+        for j in range(i):
+            if after[i] != after[j]:
+                swapped = after.copy()
+                swapped[[i, j]] = after[[j, i]]
+                assert value(swapped) >= value(after) - 1e-9
+
+
+def test_partition_check(spark):
+    records, labels = clusters_of(spark, [2, 1])
+    for bad in (labels.limit(2), labels.unionByName(labels.limit(1)), labels.withColumn("rid", F.col("rid") + 1)):
+        with pytest.raises(ValueError, match="exactly once"):
+            balance.check_partition(bad, records)
+
+
+def test_audit_known_values(spark):
+    rows = [(0, "AAAA", "train"), (1, "AAAAAA", "train"), (2, "AAAAAA", "val"), (3, "WWWW", "test")]
+    splits = spark.createDataFrame([(i, None, s, x) for i, s, x in rows], "rid long, label int, seq string, split string")
+    ks = {(r["a"], r["b"], r["feature"]): (r["ks"], r["wasserstein"]) for r in audit.feature_ks(splits).collect()}
+    assert len(ks) == 96 and ks["train", "test", "freq_W"] == (1.0, 1.0) and ks["train", "val", "length"] == (0.5, 1.0)
+    assert audit.balance_verdict(audit.normalized_balance(splits)).first()["status"] == "FAIL"
+    near = {r["query"]: r["max"] for r in audit.nearest_summary(splits, 3).collect()}
+    assert near == {"test": 0.0, "val": 1.0}
+    assert audit.leakage_gate(splits, 3, 0.5) == 0.0
+    with pytest.raises(ValueError, match="leakage"):
+        audit.leakage_gate(splits.replace({"val": "test"}, subset="split"), 3, 0.5)
+
+
+def test_silhouette_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(2)
+    pts = [(i, i % 3, r.random() + i % 3, r.random()) for i in range(30)] + [(30, 9, 5.0, 5.0)]
+    df = spark.createDataFrame(pts, "rid long, cluster_id long, x double, y double")
+    own = [p for p in pts if p[1] != 9]
+    d = np.array([[math.dist(a[2:], b[2:]) for b in own] for a in own])
+    c = np.array([p[1] for p in own])
+    want = []
+    for i in range(len(own)):
+        a = d[i, c == c[i]].sum() / ((c == c[i]).sum() - 1)
+        b = min(d[i, c == o].mean() for o in set(c) - {c[i]})
+        want.append((b - a) / max(a, b))
+    assert audit.silhouette(df, ["x", "y"]).first()["silhouette"] == pytest.approx(np.mean(want))
+    assert audit.silhouette(df, ["x", "y"], 10).first()["n"] == 10
+    assert audit.silhouette(df.limit(2), ["x", "y"]).first()["silhouette"] is None
+
+
+def test_set_jaccard_of_empty_sets(spark):
+    a = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    assert one(spark, S.set_jaccard(a(), a())) == 1.0 and one(spark, S.set_jaccard(a("x"), a())) == 0.0 and one(spark, S.set_jaccard(a("x", "y"), a("y"))) == 0.5
+
+
+def test_kmer_pca(spark):
+    import numpy as np
+
+    records, _ = clusters_of(spark, [6, 6])
+    splits = records.withColumn("split", F.when(F.col("rid") < 6, "train").otherwise("test"))
+    rows, words, m = plots.kmer_matrix(splits, 2)
+    got = {r["rid"]: (r["pc1"], r["pc2"]) for r in plots.kmer_pca(splits, 2).collect()}
+    centred = m - m.mean(0)
+    value, vector = np.linalg.eigh(centred.T @ centred)
+    first = centred @ vector[:, -1]
+    assert np.allclose(np.abs([got[i][0] for i, _ in rows]), np.abs(first)) and len(words) == m.shape[1]
+
+
+FASTA = "".join(f">p{i}|{i % 2}\n{x}\n" for i, x in enumerate(["ACDEFGHIKLMNP", "ACDEFGHIKLMNQ", "WWYYVVTTSSRRQ", "WWYYVVTTSSRRP", "GGGHHHIIIKKKL", "MNPQRSTVWYACD", "FFFFGGGGHHHHI", "KLKLMNMNPQPQR", "STSTVWVWYAYAC", "DEDEFGFGHIHIK"]))
+
+
+def test_command_line(spark, tmp_path):
+    from kinsieve.cli import main
+
+    (tmp_path / "in.fasta").write_text(FASTA)
+    assert main(["split", "--input", str(tmp_path / "in.fasta"), "--output-dir", str(tmp_path / "out"), "--kmer-sizes", "3", "--num-hashes", "16", "--balance", "--balance-metric", "mean"]) == 0
+    stats = json.loads((tmp_path / "out" / "stats.json").read_text())
+    assert sum(stats["sizes"].values()) == 10 and stats["clustering"]["cluster_count"] == 8 and stats["assignment"]["method"] == "balanced-greedy"
+    assert {"stats.json", "config.json", "report.txt", "report.html", "train.fasta", "val.fasta", "test.fasta"} <= {p.name for p in (tmp_path / "out").iterdir()}
+    assert main(["audit", "--dir", str(tmp_path / "out"), "--output-dir", str(tmp_path / "audit")]) == 0
+    again = json.loads((tmp_path / "audit" / "stats.json").read_text())
+    assert again["sizes"] == stats["sizes"] and again["ks"] == stats["ks"] and "clustering" not in again
+    assert "Cluster quality" in (tmp_path / "audit" / "report.txt").read_text() and "<pre>" in (tmp_path / "audit" / "report.html").read_text()
+    for wrong in (["split", "--input", str(tmp_path / "none.fasta")], ["split", "--input", "x", "--kmer-sizes", "0"], ["audit", "--dir", str(tmp_path)]):
+        with pytest.raises(SystemExit):
+            main(wrong)
+
+
+def test_dry_run_and_strict_gate(spark, tmp_path):
+    (tmp_path / "in.fasta").write_text(FASTA)
+    run.run_split(spark, str(tmp_path / "in.fasta"), str(tmp_path / "dry"), SplitConfig(num_hashes=16, dry_run=True, no_clustering=True))
+    assert not (tmp_path / "dry" / "train.fasta").exists() and (tmp_path / "dry" / "stats.json").exists()
+    (tmp_path / "c.json").write_text(json.dumps({str(i): i for i in range(10)}))
+    config = SplitConfig(external_clusters=str(tmp_path / "c.json"), strict_clustering=True, similarity_threshold=0.5, train_pct=0.4, val_pct=0.1, test_pct=0.5)
+    splits = cluster.split_records(R.read_fasta(spark, str(tmp_path / "in.fasta")), config)
+    worst = audit.nearest_summary(splits, 3).where("query = 'test'").first()["max"]
+    if worst > 0.5:
+        with pytest.raises(ValueError, match="leakage"):
+            run.run_split(spark, str(tmp_path / "in.fasta"), str(tmp_path / "strict"), config)
+        assert not (tmp_path / "strict").exists()
+
+
+def test_library_without_the_training_data_folders(tmp_path):
+    """A copy without both folders and the pipeline still imports and offers the other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'components' in q and not any(x.startswith('op1_') for x in q) and set(o) <= set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
