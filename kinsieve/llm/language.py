@@ -35,12 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cut, flat_batches, map_batches, mix, table, text_or_empty
+from .common import Words, cut, flat_batches, mix, table, text_or_empty, tight
 
 HEAD, OWN, ENDINGS, STATES = 1 << 18, 4096, 1024, 8
 WARM, WARM_SHARE, PASSES, SETTLED = 10, 16, 12, 0.01
-#: Steps times sequences of which a worker keeps the messages at once, and tokens that it takes up together.
-CELLS, TOKENS = 400_000, 1_500_000
+#: Documents to a task of a warm pass.
+WARM_TASK = 2_000
+#: Steps times sequences of which a worker keeps the messages at once, tokens that it takes up together, and cells of which it adds up emissions together.
+CELLS, TOKENS, EMIT_CELLS = 2_000_000, 3_000_000, 100_000
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
 SMOOTH, PRIOR = 0.1, 50.0
 
@@ -221,44 +223,48 @@ def expected(model: Model, cls: np.ndarray, bounds: np.ndarray, classes: int) ->
     start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
     blocks = _blocks(active)
 
-    def forward(a: np.ndarray | None, block: tuple[int, int]) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-        alphas, ratios, logs = [], [], 0.0
+    def ratio(t: int) -> np.ndarray:
+        return model.ratio[cls[first[: active[t]] + t]]
+
+    def forward(a: np.ndarray | None, block: tuple[int, int]) -> tuple[list[np.ndarray], np.ndarray, float]:
+        alphas, scales = [], []
         for t in range(*block):
-            n = active[t]
-            r = model.ratio[cls[first[:n] + t]]
-            a = (np.broadcast_to(model.start, (n, k)) if t == 0 else a[:n] @ model.move) * r
+            a = (model.start if t == 0 else a[: active[t]] @ model.move) * ratio(t)
             s = a.sum(1)
-            logs += float(np.log(s).sum())
-            a = a / s[:, None]
-            alphas.append(a), ratios.append(r)
-        return alphas, ratios, logs
+            scales.append(s)
+            a /= s[:, None]
+            alphas.append(a.astype(np.float32))  # half the memory; the recursion itself goes on in double
+        return alphas, a, float(np.log(np.concatenate(scales)).sum())
 
     entry: list[np.ndarray | None] = [None]
     for block in blocks:
-        alphas, ratios, logs = forward(entry[-1], block)
+        alphas, last, logs = forward(entry[-1], block)
         total += logs
-        entry.append(alphas[-1])
-    b = np.ones((len(first), k))
+        entry.append(last)
+    b, names, shares, cells = np.ones((len(first), k)), [], [], 0
     for at in range(len(blocks) - 1, -1, -1):
         if at < len(blocks) - 1:
-            alphas, ratios, _ = forward(entry[at], blocks[at])
-        names, shares = [], []
+            alphas, *_ = forward(entry[at], blocks[at])
         for t in range(blocks[at][1] - 1, blocks[at][0] - 1, -1):
             n, own = active[t], t - blocks[at][0]
             g = alphas[own] * b[:n]
             g /= g.sum(1, keepdims=True)
             names.append(cls[first[:n] + t]), shares.append(g)
+            cells += n
+            if cells > EMIT_CELLS or t == 0:
+                name, share = np.concatenate(names), np.concatenate(shares)
+                for j in range(k):
+                    emit[j] += np.bincount(name, share[:, j], classes)
+                names, shares, cells = [], [], 0
             if t == 0:
                 start += g.sum(0)
                 continue
-            y = ratios[own] * b[:n]
+            y = ratio(t) * b[:n]
             x = (alphas[own - 1] if own else entry[at])[:n]
             back = y @ model.move.T
             move += (x / (x * back).sum(1)[:, None]).T @ y * model.move
-            b[:n] = back / back.sum(1, keepdims=True)
-        name, share = np.concatenate(names), np.concatenate(shares)
-        for j in range(k):
-            emit[j] += np.bincount(name, share[:, j], classes)
+            back /= back.sum(1, keepdims=True)
+            b[:n] = back
     return start, move, emit, total
 
 
@@ -318,6 +324,7 @@ def train(training: DataFrame, counts: Counts, passes: int = PASSES, warm: int =
     if not counts.tokens:
         return model
     some = cut(training.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(WARM_SHARE)) == 0).select("text"))
+    some = tight(some, some.count(), WARM_TASK)
     for _ in range(warm):
         model, _ = one_pass(some, model, counts, 1 / WARM_SHARE)
     for _ in range(passes):
