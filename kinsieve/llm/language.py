@@ -5,7 +5,7 @@ one by their ending, and the end of a text is one more.  A hidden Markov model g
 the classes; within a class words follow their smoothed unigram shares, and a shared
 class keeps a part for unknown words by the share of words seen once.  Training is
 Baum-Welch by passes over the training documents, each of which adds up expected counts in every
-partition, which Spark sums by class: WARM passes over one document in WARM_SHARE (by a hash of
+partition, which Spark sums by class; texts are coded as classes once for all passes: WARM passes over one document in WARM_SHARE (by a hash of
 the id), as a starting point, then passes over all documents until a pass gains at most
 SETTLED (natural logarithm) a token, PASSES at most.  Whole texts go through the forward and backward recursion; the
 forward messages are kept at block ends only and computed again block by block, so a
@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, cut, flat_batches, mix, table, text_or_empty, tight
+from .common import Words, cut, flat_batches, map_batches, mix, table, text_or_empty, tight
 
 HEAD, OWN, ENDINGS, STATES = 1 << 18, 4096, 1024, 8
-WARM, WARM_SHARE, PASSES, SETTLED = 10, 16, 12, 0.01
+WARM, WARM_SHARE, PASSES, SETTLED = 8, 16, 12, 0.01
 #: Documents to a task of a warm pass.
-WARM_TASK = 2_000
+WARM_TASK = 4_000
 #: Steps times sequences of which a worker keeps the messages at once, tokens that it takes up together, and cells of which it adds up emissions together.
 CELLS, TOKENS, EMIT_CELLS = 2_000_000, 3_000_000, 100_000
 END_HASH = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -274,22 +274,33 @@ def _random_model(mass: np.ndarray) -> Model:
     return Model.of(np.ones(STATES), np.eye(STATES) * 20 + 1, emit, mass)
 
 
-def one_pass(training: DataFrame, model: Model, counts: Counts, share: float = 1.0) -> tuple[Model, float]:
-    """The next model, from expected counts over all texts of training, and the log likelihood under the present one."""
+def coded(training: DataFrame, counts: Counts) -> DataFrame:
+    """(part, cls): each text as 16-bit class numbers with its end, read once for all passes; part, a hash of the id, tells shares apart."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        got = Reader(counts)(batch.column(1).to_pylist())
+        cls, bounds = got["cls"].astype("<u2"), got["bounds"]
+        return {"part": batch.column(0), "cls": [cls[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
+
+    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(WARM_SHARE)).cast("int")
+    return map_batches(training.select(part.alias("part"), text_or_empty().alias("text")), run, "part int, cls binary")
+
+
+def one_pass(texts: DataFrame, model: Model, counts: Counts, share: float = 1.0) -> tuple[Model, float]:
+    """The next model, from expected counts over all coded texts, and the log likelihood under the present one."""
     classes = OWN + ENDINGS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        read, total, held, size = Reader(counts), None, [], 0
+        total, held, size = None, [], 0
 
         def add(total, held):
-            sizes = np.concatenate([np.diff(g["bounds"]) for g in held])
-            new = expected(model, np.concatenate([g["cls"] for g in held]), np.concatenate([[0], np.cumsum(sizes)]), classes)
+            cls = np.frombuffer(b"".join(held), "<u2").astype(np.int32)
+            new = expected(model, cls, np.cumsum([0, *(len(x) // 2 for x in held)]), classes)
             return new if total is None else tuple(a + b for a, b in zip(total, new, strict=True))
 
         for batch in batches:
-            got = read(batch.column(0).to_pylist())
-            held.append({"cls": got["cls"], "bounds": got["bounds"]})
-            size += len(got["cls"])
+            held += batch.column(0).to_pylist()
+            size += sum(map(len, held[-batch.num_rows :])) // 2
             if size > TOKENS:
                 total, held, size = add(total, held), [], 0
         if held:
@@ -299,7 +310,7 @@ def one_pass(training: DataFrame, model: Model, counts: Counts, share: float = 1
             some = np.flatnonzero(emit.sum(0) > 0)
             yield {"cls": [-1, -2, *range(-3, -3 - STATES, -1), *some.tolist()], "c": [[logs] + [0.0] * (STATES - 1), start.tolist(), *move.tolist(), *emit.T[some].tolist()]}
 
-    sums = flat_batches(training.select(text_or_empty().alias("text")), gather, "cls int, c array<double>")
+    sums = flat_batches(texts.select("cls"), gather, "cls int, c array<double>")
     rows = sums.groupBy("cls").agg(*(F.sum(F.element_at("c", j + 1)).alias(f"c{j}") for j in range(STATES))).collect()  # a row for each class at most
     start, move, emit, logs = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, classes)), 0.0
     for r in rows:
@@ -323,12 +334,13 @@ def train(training: DataFrame, counts: Counts, passes: int = PASSES, warm: int =
     model, before = _random_model(counts.mass), None
     if not counts.tokens:
         return model
-    some = cut(training.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(WARM_SHARE)) == 0).select("text"))
+    texts = cut(coded(training, counts))
+    some = cut(texts.where("part = 0"))
     some = tight(some, some.count(), WARM_TASK)
     for _ in range(warm):
         model, _ = one_pass(some, model, counts, 1 / WARM_SHARE)
     for _ in range(passes):
-        model, now = one_pass(training, model, counts)
+        model, now = one_pass(texts, model, counts)
         if said is not None:
             said.append(now)
         if before is not None and now - before <= SETTLED * counts.tokens:

@@ -231,7 +231,7 @@ def test_likelihood_rises_over_passes(spark):
     said: list[float] = []
     model = language._random_model(counts.mass)
     for _ in range(5):
-        model, logs = language.one_pass(d, model, counts)
+        model, logs = language.one_pass(language.coded(d, counts), model, counts)
         said.append(logs)
     assert said == sorted(said) and said[-1] > said[0]
 
