@@ -35,7 +35,7 @@ RANGE_DOCS, MOST_RANGES = 8_192, 100_000
 #: Documents from which the bounds of the ranges are taken (a sample by a hash of the id): at least so many, and so many
 #: for each range, hence 4 million at most.  Every document is packed.
 SAMPLE, SAMPLE_RANGE = 5_000, 40
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 72 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -62,7 +62,8 @@ class Tokens:
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
         self.uneven = re.compile(r" (?:\s|$)")
         self.cache: dict[str, bytes] = {}
-        self.room = CACHE_BYTES
+        self.older: dict[str, bytes] = {}  # what was known before the cache was last full; words met again move over
+        self.room = CACHE_BYTES // 2
 
     @property
     def whole(self):
@@ -83,12 +84,13 @@ class Tokens:
         cache, parts = self.cache, [np.array(self.encoding.encode_ordinary(first), "<u2").tobytes()]
         for w in words:
             if (ids := cache.get(w)) is None:
-                ids = np.array(self.encoding.encode_ordinary(" " + w), "<u2").tobytes()
+                if (ids := self.older.get(w)) is None:
+                    ids = np.array(self.encoding.encode_ordinary(" " + w), "<u2").tobytes()
                 if len(w) < 32:
                     self.room -= 200 + 2 * len(w) + len(ids)
                     if self.room < 0:
-                        cache.clear()
-                        self.room = CACHE_BYTES
+                        self.older, cache, self.room = cache, {}, CACHE_BYTES // 2
+                        self.cache = cache
                     cache[w] = ids
             parts.append(ids)
         return b"".join(parts)
