@@ -35,7 +35,7 @@ RANGE_DOCS, MOST_RANGES = 8_192, 100_000
 #: Documents from which the bounds of the ranges are taken (a sample by a hash of the id): at least so many, and so many
 #: for each range, hence 4 million at most.  Every document is packed.
 SAMPLE, SAMPLE_RANGE = 5_000, 40
-CACHE_BYTES = 72 << 20
+CACHE_BYTES = 144 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
