@@ -3,7 +3,7 @@
 Each document is tokenised once.  Its token counts, hashed into a vector and projected by
 random signs to four dimensions, give a point; points are ranked on each axis against
 fixed normal quantiles and numbered along a Hilbert curve.  Documents are dealt to tasks
-by ranges of (curve key, hash of the id), sorted, and packed one after another into
+by ranges of (curve key, hash of the id), even in documents and tokens, sorted, and packed one after another into
 sequences of 2048 tokens; documents are cut where a sequence is full, so only the last
 sequence of a range is padded.
 
@@ -151,7 +151,7 @@ def keys(points: np.ndarray) -> np.ndarray:
 
 
 def _tokenised(docs: DataFrame, path: str, bounds: list[int] | None) -> DataFrame:
-    """(doc_id, place, bucket, ids, n): place is the curve key, then 32 bits of a hash of the id."""
+    """(doc_id, place, bucket, ids, n): place is the curve key, then 32 bits of a hash of the id; without bounds, ids are left out."""
 
     def run(batch: pa.RecordBatch) -> dict:
         t = tokens(path)
@@ -160,11 +160,22 @@ def _tokenised(docs: DataFrame, path: str, bounds: list[int] | None) -> DataFram
         tail = np.array([xxhash.xxh32_intdigest(str(i)) for i in batch.column(0).to_pylist()], np.int64)
         place = key << 32 | tail
         bucket = np.searchsorted(np.array(bounds or [], np.int64), place, side="right")
-        if bounds is None:
-            return {"doc_id": batch.column(0), "place": place, "bucket": bucket, "ids": [b""] * len(raw)}
-        return {"doc_id": batch.column(0), "place": place, "bucket": bucket, "ids": raw}
+        ids = [b""] * len(raw) if bounds is None else raw
+        return {"doc_id": batch.column(0), "place": place, "bucket": bucket, "ids": ids, "n": [len(r) // 2 for r in raw]}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, place long, bucket int, ids binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, place long, bucket int, ids binary, n long")
+
+
+def _bounds(place: np.ndarray, n: np.ndarray, ranges: int) -> list[int]:
+    """Bounds between ranges that are even in documents and tokens together, so none has over twice its share of either.
+
+    Documents of much text lie close to each other on the curve, so ranges of as many documents differ in tokens.
+    """
+    if not len(place):
+        return []
+    order = np.argsort(place, kind="stable")
+    load = np.cumsum(1 / len(n) + n[order] / n.sum())
+    return np.unique(place[order][np.searchsorted(load, load[-1] * np.arange(1, ranges) / ranges)]).tolist()
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -205,10 +216,10 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Data
     if ranges > 1:
         share = max(1, n // max(SAMPLE, SAMPLE_RANGE * ranges))
         some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == 0)
-        seen = np.sort(_tokenised(some, path, None).select("place").toArrow()["place"].to_numpy())
-        bounds = np.unique(seen[np.arange(1, ranges) * len(seen) // ranges]).tolist() if len(seen) else []
+        seen = _tokenised(some, path, None).select("place", "n").toArrow()
+        bounds = _bounds(seen["place"].to_numpy(), seen["n"].to_numpy(), ranges)
     # each range is a partition of its own, by its number: a hash of the number would leave some empty and fill others twice
-    dealt = _tokenised(docs, path, bounds).repartitionById(len(bounds) + 1, F.col("bucket"))
+    dealt = _tokenised(docs, path, bounds).drop("n").repartitionById(len(bounds) + 1, F.col("bucket"))
     ordered = dealt.sortWithinPartitions("bucket", "place", "doc_id", F.xxhash64("ids")).select("doc_id", "bucket", "ids")
     return flat_batches(ordered, _packed(size), PIECES)
 

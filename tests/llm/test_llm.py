@@ -164,6 +164,17 @@ def test_packing_round_trip(spark):
         assert at <= 2048
 
 
+def test_ranges_are_even_in_documents_and_tokens():
+    r = np.random.default_rng(6)
+    place = r.permutation(4000)
+    n = np.where(place < 400, 5000, r.integers(1, 50, 4000))  # a tenth of the documents, side by side, has most of the text
+    bounds = packing._bounds(place, n, 20)
+    part = np.searchsorted(bounds, place, side="right")
+    assert len(bounds) == 19 and part.max() == 19
+    assert np.bincount(part).max() <= 2 * 4000 / 20 + 1 and np.bincount(part, n).max() <= 2 * n.sum() / 20 + 5000
+    assert packing._bounds(place[:0], n[:0], 20) == [] and packing._bounds(np.zeros(9, np.int64), n[:9], 4) == [0]
+
+
 def test_hilbert_visits_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(4)] * 3, indexing="ij"), -1).reshape(-1, 3)
     path = cells[np.argsort(packing.hilbert(cells, 2))]
