@@ -45,9 +45,45 @@ def test_hard_cases_and_empty_tables(spark, folders, name):
         assert sum(r["start"] == 0 for r in rows) == len(HARD)
     else:
         assert len(rows) == len(HARD)
+    check_hard_values(name, rows)
     assert q(spark, folders[1]).count() == 0
 
 
+def check_hard_values(name, rows):
+    """The results that docstrings state for null, empty and blank texts, repeated rows, copies and null ids."""
+    of = {i: [r.asDict() for r in rows if r["doc_id"] == i] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, None)}
+    one = {i: r[0] for i, r in of.items()}
+    if name == "op2_packing":
+        assert [(one[i]["length"], one[i]["doc_tokens"], one[i]["ids_crc32"]) for i in (1, 2)] == [(1, 1, zlib.crc32(b"\1\0\0\0"))] * 2
+        crc = lambda i: [(r["start"], r["doc_tokens"]) for r in of[i] if r["start"] == 0]
+        assert crc(6) == crc(7) and len(set(crc(5))) == 1 and len(crc(5)) == 2
+    elif name == "op5_line_dedup":
+        got = {i: (one[i]["n_lines"], one[i]["n_removed"], one[i]["text"]) for i in (1, 2, 5, 6, 7, 8)}
+        assert got == {1: (0, 0, None), 2: (1, 0, ""), 5: (1, 0, HARD[4][1]), 6: (1, 0, LONG), 7: (1, 1, ""), 8: (31, 29, "a b c\n")}
+        assert of[5][0] == of[5][1]
+    elif name == "op6_minhash":
+        got = {i: (one[i]["n_shingles"], one[i]["component_id"], one[i]["kept"]) for i in (1, 2, 3, 4, 7, None)}
+        words = LONG.split()
+        assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (1, 4, True), 7: (len(set(zip(words, words[1:], words[2:]))), 6, False), None: (3, None, True)}
+        assert of[5][0] == of[5][1] and one[5]["component_id"] == 5 and one[5]["kept"]
+    elif name == "op8_mixing":
+        assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", dict(HARD)[r["doc_id"]] or "")) and 0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    elif name == "op9_fingerprints":
+        assert one[1]["n_chars"] == one[2]["n_chars"] == 0 and one[1]["fingerprint"] == one[2]["fingerprint"] and one[6]["fingerprint"] == one[7]["fingerprint"]
+        assert of[5][0]["fingerprint"] == of[5][1]["fingerprint"] and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
+    else:
+        value = lambda r: {k: v for k, v in r.items() if k not in ("doc_id", "held_out")}
+        assert value(one[1]) == value(one[2]) and value(one[6]) == value(one[7]) and of[5][0] == of[5][1]
+        if name == "op1_toxicity":
+            assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows) and one[None]["held_out"] is False
+        elif name == "op3_language_model":
+            assert {one[i]["n_tokens"] for i in (1, 2, 3)} == {1} and all(r["score"] < 0 for r in rows)
+        elif name == "op10_media":
+            assert (one[1]["n_bytes"], one[1]["payload_bytes"], one[1]["payload_sha256"]) == (0, 192, hashlib.sha256(b" " * 192).hexdigest())
+        else:
+            assert one[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and one[1]["spans"] == ""
+
+
 def test_pipeline_on_hard_cases(spark, folders):
     import corpus_pipeline
 
@@ -60,6 +96,81 @@ def test_pipeline_on_hard_cases(spark, folders):
     assert corpus_pipeline.run(spark, folders[1]).count() == 0
 
 
+def _without_runs(rows, least):
+    """rows (id, text) by id without the lines of runs of so many words that an earlier place has, by brute force."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        own, gone = t.split("\n"), set()
+        for a in range(len(own)):
+            for e in range(a + 1, len(own) + 1):
+                if sum(len(x.split()) for x in own[a:e]) >= least and first.setdefault(tuple(own[a:e]), (i, a)) != (i, a):
+                    gone.update(range(a, e))
+        out[i] = "\n".join(x for j, x in enumerate(own) if j not in gone)
+    return out
+
+
+def _least_of_components(texts, k, percent):
+    """The least id of each component of texts by id, by brute force."""
+    sets = {i: {tuple(t.split()[j : j + k]) for j in range(len(t.split()) - k + 1)} for i, t in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    root = {i: i for i in sets}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return {i for i in root if root[i] == i}
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    line = lambda: " ".join("".join(r.choice("abcdefghijkmnop") for _ in range(5)) for _ in range(12))
+    passage, texts, toxic = [line() for _ in range(5)], {}, set()
+    for i in range(240):
+        lines = [line() for _ in range(7)]
+        if i % 4 == 0:
+            toxic.add(i)
+            lines[3] = lines[3][:6] + r.choice(["grumblor", "snarkwit"]) + lines[3][5:]
+        elif i % 20 == 7:
+            lines[1:1] = passage  # of 60 words
+        elif i % 20 == 9:
+            lines = texts[i - 2].split("\n")  # a copy
+        elif i % 20 in (13, 14):
+            lines = texts[i - 3 if i % 20 == 13 else i - 1].split("\n")
+            lines[3] = lines[3][:6] + "other" + lines[3][11:]  # a near copy, of which no run of equal lines has 50 words
+        texts[i] = "\n".join(lines)
+    d = str(tmp_path)
+    docs(spark, sorted(texts.items())).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i in toxic)) for i in texts], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    frame, kept = spark.read.parquet(f"{d}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, frame, d).write.parquet(f"{d}/{k}")
+        frame = spark.read.parquet(f"{d}/{k}")
+        kept.append([(x["doc_id"], x["text"]) for x in frame.collect()])
+    assert sorted(kept[0]) == sorted((i, t) for i, t in texts.items() if i not in toxic)
+    rest = {i: t for i, t in _without_runs(kept[0], 50).items() if t.strip()}
+    assert dict(kept[1]) == rest and len(kept[1]) == len(rest) < len(kept[0])
+    least = _least_of_components(rest, 5, 80)
+    assert sorted(kept[2]) == sorted((i, rest[i]) for i in least) and len(least) < len(rest)
+    words: dict = {}
+    for x in spark.read.parquet(f"{d}/2").collect():
+        words[x["source"]] = words.get(x["source"], 0) + len(x["text"].split())
+    names = sorted(words, key=lambda s: (s is None, s or ""))
+    taken = dict.fromkeys(names, 0)
+    for x in frame.collect():
+        assert (x["doc_id"], x["text"]) in kept[2]
+        taken[x["source"]] += len(x["text"].split())
+    for s, want in zip(names, _targets([words[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True):
+        assert want - 84 < taken[s] <= want + 1, s  # short of it by less than a document
+    assert max(kept[3].count(x) for x in kept[2]) <= 3
+    t = Tokenizer.from_file(packing.vocabulary())
+    left = [[i, len([*t.encode(x, add_special_tokens=False).ids, 1])] for i, x in kept[3]]
+    got = corpus_pipeline.run(spark, d).collect()
+    assert sorted([x["doc_id"], x["doc_tokens"]] for x in got if x["start"] == 0) == sorted(left)
+    assert sum(x["length"] for x in got) == sum(n for _, n in left)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
