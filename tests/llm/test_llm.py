@@ -453,10 +453,42 @@ def test_secrets_in_pieces_equal_those_in_the_whole():
 
 def test_private_base_brute_force():
     r = random.Random(7)
-    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    for _ in range(3000):
-        t = "".join(r.choice("a.@-+ 0123 ()9b.") for _ in range(40))
-        assert [x[:2] for x in pii.base_spans(t) if x[2] == "email"] == [m.span() for m in mail.finditer(t)]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+
+    def luhn(m):
+        own = [int(c) for c in digits(m)][::-1]
+        return (sum(own[::2]) + sum(sum(divmod(2 * d, 10)) for d in own[1::2])) % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(m)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    }
+    parts = ["a", ".", "@", "-", "+", " ", "0", "1", "25", "6", "300", "0007", "(", ")", "9b", "4111 1111 1111 1111", "411111111111", "1.2.3.4", "\u0663", "\u00e9", "\n"]
+    seen = dict.fromkeys(kinds, 0)
+    for _ in range(20000):
+        t = "".join(r.choices(parts, k=r.randrange(1, 25)))
+        for kind, (pattern, holds) in kinds.items():
+            want = [m.span() for m in re.finditer(pattern, t) if holds(m)]
+            seen[kind] += len(want)
+            assert [x[:2] for x in pii.base_spans(t) if x[2] == kind] == want, (kind, t)
+    assert min(seen.values()) > 100, seen
+
+
+def test_secret_base_brute_force():
+    r = random.Random(19)
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = {"assign": (assign, lambda m: len(m[2]) >= 6), "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24)}
+    parts = ["token", "Secret", "PASSWD", "password", "api", "_", "KEY", ":", "=", " ", "'", '"', "abc123", "AKIA", "ABCDEFGH01234567", "0123456789ab", "\u212a", "\u017fecret", "\n", "\u00e9", "-"]
+    seen = dict.fromkeys(kinds, 0)
+    for _ in range(20000):
+        t = "".join(r.choices(parts, k=r.randrange(1, 25)))
+        for kind, (pattern, holds) in kinds.items():
+            want = [m.span() for m in re.finditer(pattern, t, re.ASCII) if holds(m)]  # letters in either case are ASCII letters only
+            seen[kind] += len(want)
+            assert [x[:2] for x in secrets.scan(t) if x[2] == kind] == want, (kind, t)
+    assert min(seen.values()) > 100, seen
 
 
 def test_private_added(spark):
