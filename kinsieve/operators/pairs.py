@@ -140,10 +140,14 @@ def dense_members(sketched: DataFrame, hashes: int, rows: int, dense: int = 128)
     return rows_.join(rows_.groupBy("band", "key").agg(F.count("*").alias("m")).where(F.col("m") > dense), ["band", "key"]).select("rid").distinct()
 
 
-def nearest(query: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """(rid, score, ref): each query record's most similar reference record; ties take the largest rid; 0 and null without a shared k-mer."""
-    q = kmer_rows(query, k).select(F.col("rid").alias("q"), F.col("n").alias("nq"), "kmer")
-    r = kmer_rows(reference, k).select(F.col("rid").alias("r"), F.col("n").alias("nr"), "kmer")
+def nearest(query: DataFrame, reference: DataFrame, k: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(rid, also..., score, ref): each query record's most similar reference record; ties take the largest rid; 0 and null without a shared k-mer.
+
+    Equal sequences have equal scores, so only distinct ones meet on their k-mers, a reference sequence under its largest rid.
+    """
+    q = kmer_rows(unique_records(query), k).select(F.col("rid").alias("q"), F.col("n").alias("nq"), "kmer")
+    r = kmer_rows(reference.groupBy("seq").agg(F.max("rid").alias("rid")), k).select(F.col("rid").alias("r"), F.col("n").alias("nr"), "kmer")
     c = q.join(r, "kmer").groupBy("q", "r", "nq", "nr").agg(F.count("*").alias("c"))
     best = c.groupBy("q").agg(F.max(F.struct(S.jaccard(F.col("c"), F.col("nq"), F.col("nr")).alias("score"), F.col("r").alias("ref"))).alias("x"))
-    return query.select("rid").join(best, F.col("rid") == F.col("q"), "left").select("rid", F.coalesce("x.score", F.lit(0.0)).alias("score"), F.col("x.ref").alias("ref"))
+    found = unique_records(query).join(best, F.col("rid") == F.col("q")).select("seq", "x")
+    return query.select("rid", "seq", *also).join(found, "seq", "left").select("rid", *also, F.coalesce("x.score", F.lit(0.0)).alias("score"), F.col("x.ref").alias("ref"))

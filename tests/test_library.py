@@ -306,6 +306,23 @@ def test_audit_known_values(spark):
         audit.leakage_gate(splits.replace({"val": "test"}, subset="split"), 3, 0.5)
 
 
+@pytest.fixture
+def met(monkeypatch):
+    """Records that the k-mer joins take in, a number for each call."""
+    taken, plain = [], pairs.kmer_rows
+    monkeypatch.setattr(pairs, "kmer_rows", lambda records, k: taken.append(records.count()) or plain(records, k))
+    return taken
+
+
+def test_nearest_of_copies(spark, met):
+    query = spark.createDataFrame([(10 * i, "AAAA" if i % 2 else "WWWWA") for i in range(40)] + [(5000, "AC"), (5010, None)], "rid long, seq string")
+    reference = spark.createDataFrame([(10 * i + 1, ("AAAAC", "AAAA", "WWWWC")[i % 3]) for i in range(60)], "rid long, seq string")
+    found = {r["rid"]: (r["score"], r["ref"]) for r in pairs.nearest(query, reference, 3).collect()}
+    assert len(found) == 42 and found[5000] == found[5010] == (0.0, None)
+    assert {found[10 * i] for i in range(1, 40, 2)} == {(1.0, 581)} and {found[10 * i] for i in range(0, 40, 2)} == {(1 / 3, 591)}
+    assert sorted(met) == [3, 4]  # distinct sequences, not copies
+
+
 def test_silhouette_brute_force(spark):
     import random
 
