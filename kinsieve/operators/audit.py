@@ -120,7 +120,7 @@ def boundary_records(splits: DataFrame, k: int, threshold: float = 0.7, width: f
 
     Without a train record there are none; a record that shares no k-mer with train has score 0 and no ref.
     """
-    near = pairs.nearest(splits.where("split <> 'train'"), splits.where("split = 'train'"), k).join(splits.select("rid", "split"), "rid")
+    near = pairs.nearest(splits.where("split <> 'train'"), splits.where("split = 'train'"), k, ("split",))
     some = splits.where("split = 'train'").limit(1).count() > 0
     return near.where(F.lit(some) & (F.abs(F.col("score") - threshold) <= width)).select("rid", "split", "ref", "score")
 

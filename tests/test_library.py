@@ -323,6 +323,15 @@ def test_nearest_of_copies(spark, met):
     assert sorted(met) == [3, 4]  # distinct sequences, not copies
 
 
+def test_boundary_records_of_copies(spark, met):
+    rows = [(i, ("AAAA", "AAAAC", "WWWW")[i % 3], "train") for i in range(30)] + [(100 + i, ("AAAAC", "AAAAD")[i % 2], ("test", "val")[i % 2]) for i in range(20)]
+    splits = spark.createDataFrame(rows, "rid long, seq string, split string")
+    found = audit.boundary_records(splits, 3, 0.95).collect()
+    assert {tuple(r) for r in found} == {(100 + i, "test", 28, 1.0) for i in range(0, 20, 2)} and len(found) == 10
+    assert sorted(met) == [2, 3]
+    assert audit.boundary_records(splits.where("split <> 'train'"), 3, 0.0).count() == 0
+
+
 def test_silhouette_brute_force(spark):
     import random
 
