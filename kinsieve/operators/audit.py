@@ -106,13 +106,10 @@ def homology_warnings(similarity: DataFrame) -> DataFrame:
 
 def nearest_summary(splits: DataFrame, k: int = 3) -> DataFrame:
     """(query, n_queries, mean, max, p95): each test and val record's similarity to its nearest train record."""
-    train, out = splits.where("split = 'train'"), None
-    for s in ("test", "val"):
-        own = splits.where(F.col("split") == s)
-        near = pairs.nearest(own, train, k)
-        row = near.agg(F.count("*").alias("n_queries"), F.avg("score").alias("mean"), F.max("score").alias("max"), F.percentile("score", F.lit(0.95)).alias("p95")).select(F.lit(s).alias("query"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    near = pairs.nearest(splits.where("split in ('test', 'val')"), splits.where("split = 'train'"), k, ("split",))
+    rows = near.groupBy("split").agg(F.count("*").alias("n_queries"), F.avg("score").alias("mean"), F.max("score").alias("max"), F.percentile("score", F.lit(0.95)).alias("p95"))
+    both = splits.sparkSession.createDataFrame([("test",), ("val",)], "query string")
+    return both.join(rows, F.col("query") == F.col("split"), "left").select("query", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), "mean", "max", "p95")
 
 
 def boundary_records(splits: DataFrame, k: int, threshold: float = 0.7, width: float = 0.10) -> DataFrame:

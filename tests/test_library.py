@@ -332,6 +332,13 @@ def test_boundary_records_of_copies(spark, met):
     assert audit.boundary_records(splits.where("split <> 'train'"), 3, 0.0).count() == 0
 
 
+def test_nearest_summary_of_copies(spark, met):
+    rows = [(i, ("AAAA", "WWWW")[i % 2], "train") for i in range(30)] + [(100 + i, ("AAAA", "AAAAD")[i % 2], "test") for i in range(20)]
+    found = {r["query"]: tuple(r)[1:] for r in audit.nearest_summary(spark.createDataFrame(rows, "rid long, seq string, split string")).collect()}
+    assert found == {"test": (20, 0.75, 1.0, 1.0), "val": (0, None, None, None)}
+    assert sorted(met) == [2, 2]  # train is taken once for both splits, without copies
+
+
 def test_silhouette_brute_force(spark):
     import random
 
