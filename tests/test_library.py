@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinsieve.config import SplitConfig
 from kinsieve.functions import sequence as S
-from kinsieve.operators import assign, audit, balance, cluster, diagnostics, graph, pairs, plots
+from kinsieve.operators import assign, audit, balance, blocks, cluster, diagnostics, graph, pairs, plots
 from kinsieve.plans import run
 from kinsieve.sources import records as R
 
@@ -339,6 +339,38 @@ def test_nearest_summary_of_copies(spark, met):
     assert sorted(met) == [2, 2]  # train is taken once for both splits, without copies
 
 
+def test_linked_roots_brute_force(spark, monkeypatch):
+    import random
+
+    r, rows = random.Random(3), ["", "Éa", "ABCDEFGH", "ABCDEFGHI", "ABCDEFGHIJ", "É" * 30]
+    for n in (12, 40, 300):
+        base = ["".join(r.choice("ABCDé\U0001f600") for _ in range(n)) for _ in range(6)]
+        for b in base:
+            rows += [b, b[: n * 2 // 3], b[: n // 2] + r.choice(base)[n // 2 :]] + [b[:i] + "Z" + b[i + 1 :] for i in r.sample(range(n), 3)]
+    rows = sorted(set(rows))
+    sets = [{s[i : i + 9] for i in range(len(s) - 8)} for s in rows]
+    root = list(range(len(rows)))
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    records = spark.createDataFrame(list(enumerate(rows)), "rid long, seq string")
+    assert {tuple(x) for x in blocks.linked_roots(records, 9, 0.5).collect()} == set(enumerate(root))
+    # without pivots and in any order of k-mers the join alone finds all
+    monkeypatch.setattr(blocks, "LONG_RUN", 2)
+    monkeypatch.setattr(blocks, "pivot_pairs", lambda records, k: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(blocks, "frequencies", lambda records, total, k: blocks.np.zeros(blocks.SLOTS, "u1"))
+    assert {tuple(x) for x in blocks.linked_roots(records, 9, 0.5).collect()} == set(enumerate(root))
+
+
+def test_copies_do_not_meet_again(spark):
+    text = "".join(chr(65 + i * i % 23) + chr(65 + i * 7 % 19) + chr(97 + i % 26) for i in range(100))
+    records = spark.createDataFrame([(i, text[:i] + "#" + text[i:], 0) for i in range(100)], "rid long, seq string, root long")
+    counts = blocks.frequencies(records, 100, 9)
+    assert blocks.prefix_pairs(records, 9, 0.5, counts, 3).count() == 0
+    assert blocks.prefix_pairs(records.withColumn("root", (F.col("rid") == 50).cast("long")), 9, 0.5, counts, 3).count() == 99
+
+
 def test_silhouette_brute_force(spark):
     import random
 
