@@ -147,7 +147,8 @@ def edited_fingerprints(docs: DataFrame, partitions: int | None = None) -> DataF
     before = docs.sparkSession.createDataFrame([(p, used[k - 1]) for k, p in enumerate(used)], "part int, pair int")
     edges = done.where("edge is not null").join(F.broadcast(before), "part").withColumn("pair", F.when(F.col("edge") == "last", F.col("part")).otherwise(F.col("pair")))
     edges = edges.repartition(n, "pair").sortWithinPartitions("pair", F.col("edge").desc()).select("edge", "doc_id", "text")
-    full = cut(done.where("edge is null").unionByName(flat_batches(edges, _edges, SCHEMA)).drop("part", "edge", "text"))
+    # the rows inside partitions are in done's checkpoint already; only those across partitions are added to it
+    full = done.where("edge is null").unionByName(cut(flat_batches(edges, _edges, SCHEMA))).drop("part", "edge", "text")
     both = full.select("fp", "fp_long").unionByName(full.select(F.col("efp").alias("fp"), F.col("efp_long").alias("fp_long")))
     # edited texts are compared with all others by their second digest, documents with each other byte by byte
     differ = both.distinct().groupBy("fp").count().where("count > 1").select("fp")

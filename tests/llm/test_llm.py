@@ -585,6 +585,15 @@ def test_mixing(spark):
     assert len(mixed) == sum(x["copies"] if x["size"] else 1 for x in got)
 
 
+def test_fingerprints_write_rows_once(spark, monkeypatch):
+    plain, held = fingerprints.cut, []
+    monkeypatch.setattr(fingerprints, "cut", lambda df: held.append(plain(df)) or held[-1])
+    own = fingerprints.edited_fingerprints(docs(spark, [(i, f"text {i}") for i in range(40)]), 3)
+    assert own.select("doc_id").distinct().count() == own.count() == 40
+    # digests of the 37 rows inside partitions are written once; the 3 across partitions apart from them
+    assert sum(x.where("edited_sha256 is not null").count() for x in held if "edited_sha256" in x.columns) == 40
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in enumerate(["Abc  def", "abc def", "ＡＢＣ def", "other", "", "x" * 9])]
     got = sorted(fingerprints.edited_fingerprints(docs(spark, rows), 3).collect(), key=lambda x: x["doc_id"])
