@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinsieve.llm import components, fingerprints, language, linedup, media, minhash, mixing, packing, pii, secrets, toxicity
+from kinsieve.llm import common, components, fingerprints, language, linedup, media, minhash, mixing, packing, pii, secrets, toxicity
 from kinsieve.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -585,6 +585,12 @@ def test_mixing(spark):
     assert len(mixed) == sum(x["copies"] if x["size"] else 1 for x in got)
 
 
+def test_batches_to_workers_are_bounded(spark):
+    text = docs(spark, [(i, "x" * 2000) for i in range(6000)]).coalesce(1)
+    sizes = common.flat_batches(text, lambda batches: ({"rows": [b.num_rows], "held": [len(b.column(1).buffers()[2])]} for b in batches), "rows long, held long").collect()
+    assert sum(r["rows"] for r in sizes) == 6000 and max(r["held"] for r in sizes) <= 8 << 20
+
+
 def test_fingerprints_write_rows_once(spark, monkeypatch):
     plain, held = fingerprints.cut, []
     monkeypatch.setattr(fingerprints, "cut", lambda df: held.append(plain(df)) or held[-1])
