@@ -27,6 +27,9 @@ SLICE_BYTES = 1 << 19
 #: Rows and bytes of a batch on its way to a Python worker; both ends hold it whole, outside the heap.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
+#: What a task leaves in its worker for later tasks of its own function; the next task of another one gives it up.
+HELD: dict = {}
+
 #: Bytes in a window of the word hashes.
 WINDOW_BYTES = 1 << 18
 
@@ -172,10 +175,22 @@ def _give_back() -> None:
         pass
 
 
-def on_texts(fn: Callable[[list], list], kind: pa.DataType, *columns: Column) -> Column:
-    """A column of fn over bounded lists of the rows' values (one list for each column), in the order of the rows."""
+def _begin(keep: bool = False) -> None:
+    """Give up what tasks of other functions left in HELD, before this one takes memory of its own."""
+    if HELD and not keep:
+        HELD.clear()
+        gc.collect()
+        _give_back()
+
+
+def on_texts(fn: Callable[[list], list], kind: pa.DataType, *columns: Column, once: bool = False) -> Column:
+    """A column of fn over bounded lists of the rows' values (one list for each column), in the order of the rows.
+
+    once: Spark may not copy the call into a filter on the column, which would run it twice in a task, in two workers.
+    """
 
     def run(*arrays: pa.Array) -> pa.Array:
+        _begin()
         parts = [pa.array(fn(*(c.to_pylist() for c in part.columns)), kind) for part in slices(pa.RecordBatch.from_arrays(list(arrays), [str(k) for k in range(len(arrays))]))]
         _give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
@@ -185,15 +200,17 @@ def on_texts(fn: Callable[[list], list], kind: pa.DataType, *columns: Column) ->
     two = lambda a, b: run(a, b)
     f = (one, two)[len(columns) - 1]
     f.__annotations__ = {"a": pa.Array, "return": pa.Array} | ({"b": pa.Array} if len(columns) == 2 else {})
-    return F.arrow_udf(f, from_arrow_type(kind))(*columns)
+    udf = F.arrow_udf(f, from_arrow_type(kind))
+    return (udf.asNondeterministic() if once else udf)(*columns)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow for functions from a bounded slice of rows to a dict of columns; empty batches are skipped."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, keep: bool = False) -> DataFrame:
+    """mapInArrow for functions from a bounded slice of rows to a dict of columns; empty batches are skipped.  keep: fn goes on with what is in HELD."""
     bounded_batches(df.sparkSession)
     fields, arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(keep)
         for batch in batches:
             for part in slices(batch):
                 out = fn(part)
@@ -210,6 +227,7 @@ def flat_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     fields, arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         for out in fn(part for batch in batches for part in slices(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
         _give_back()

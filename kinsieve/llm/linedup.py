@@ -228,7 +228,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: s
     gone = maybe_broadcast(gone)
     drop = F.col(names[2])
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[names[0]]) & (_digest(docs[text_col]) == gone[names[1]]), "left")
-    kept = on_texts(_rest, pa.string(), F.when(drop.isNotNull(), F.col(text_col)), drop)  # only texts that lose lines are passed to Python
+    kept = on_texts(_rest, pa.string(), F.when(drop.isNotNull(), F.col(text_col)), drop, once=True)  # only texts that lose lines are passed to Python
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = joined.withColumns({"n_lines": n_lines, "n_removed": F.when(drop.isNull(), F.lit(0)).otherwise(F.aggregate(drop, F.lit(0), lambda s, x: x - s)).cast("long")})
     return out.withColumn(text_col, F.when(drop.isNull(), F.col(text_col)).otherwise(kept)).drop(*names)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_batches, map_batches, table, text_or_empty
+from .common import HELD, flat_batches, map_batches, table, text_or_empty
 
 SEQUENCE, END, AXES, BITS, FEATURES = 2048, 1, 4, 7, 1024
 #: Documents to a range, and ranges at most: beyond that the ranges grow, and Spark sorts them with spilling.
@@ -96,14 +96,11 @@ class Tokens:
         return b"".join(parts)
 
 
-_HELD: dict[str, Tokens] = {}
-
-
 def tokens(path: str) -> Tokens:
-    """One tokenizer for each worker process."""
-    if path not in _HELD:
-        _HELD[path] = Tokens(path)
-    return _HELD[path]
+    """One tokenizer for each worker process, until the process does something else."""
+    if path not in HELD:
+        HELD[path] = Tokens(path)
+    return HELD[path]
 
 
 _SIGNS = np.random.default_rng(3).choice([-1.0, 1.0], (FEATURES, AXES))
@@ -163,7 +160,7 @@ def _tokenised(docs: DataFrame, path: str, bounds: list[int] | None) -> DataFram
         ids = [b""] * len(raw) if bounds is None else raw
         return {"doc_id": batch.column(0), "place": place, "bucket": bucket, "ids": ids, "n": [len(r) // 2 for r in raw]}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, place long, bucket int, ids binary, n long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, "doc_id long, place long, bucket int, ids binary, n long", keep=True)
 
 
 def _bounds(place: np.ndarray, n: np.ndarray, ranges: int) -> list[int]:

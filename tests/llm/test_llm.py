@@ -275,6 +275,22 @@ def test_packing_round_trip(spark):
         assert at <= 2048
 
 
+def test_workers_give_up_the_tokenizer(spark):
+    import gc
+
+    packing.pack(docs(spark, [(i, "some words here") for i in range(40)]).repartition(4)).collect()
+    # the class as the worker knows it: one that travels with the function would be another
+    held = common.map_batches(spark.range(400).repartition(8), lambda b: {"n": [sum(type(x).__name__ == "Tokens" for x in gc.get_objects())]}, "n long").collect()
+    assert held and not sum(x["n"] for x in held)
+
+
+def test_texts_that_lose_lines_go_to_python_once(spark):
+    out = linedup.without_repeated_lines(docs(spark, [(1, "a " * 60 + "\nb"), (2, "a " * 60 + "\nc"), (3, "a " * 60)]))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"ArrowEvalPython[^\n]*\[<lambda>|ArrowEvalPython \(\d+\)|ArrowEvalPython \[", plan)) == 1, plan
+    assert sorted((x["doc_id"], x["text"]) for x in out.collect()) == [(1, "a " * 60 + "\nb"), (2, "c")]
+
+
 def test_ranges_are_even_in_documents_and_tokens():
     r = np.random.default_rng(6)
     place = r.permutation(4000)
