@@ -371,6 +371,23 @@ def test_copies_do_not_meet_again(spark):
     assert blocks.prefix_pairs(records.withColumn("root", (F.col("rid") == 50).cast("long")), 9, 0.5, counts, 3).count() == 99
 
 
+def test_rounds_and_copies_of_linked_roots(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    base = ["".join(r.choice("ABCDEFGH") for _ in range(400)) for _ in range(20)]
+    rows = [(i, x[:200] + "ZZ" + x[200:] if i >= 20 else x, i) for i, x in enumerate(base * 2)]
+    records = spark.createDataFrame(rows, "rid long, seq string, root long")
+    counts, made, pairs_of = blocks.frequencies(records, 40, 9), [], blocks.prefix_pairs
+    each = [{tuple(x) for x in pairs_of(records, 9, 0.5, counts, 4, part, 2).collect()} for part in range(2)]
+    assert each[0] | each[1] == {tuple(x) for x in pairs_of(records, 9, 0.5, counts, 4).collect()} >= {(i, i + 20) for i in range(20)}
+    # a round has about half of the prefixes, and equal sequences don't come into the join
+    monkeypatch.setattr(blocks, "prefix_pairs", lambda records, *a: made.append((records.count(), a[4:])) or pairs_of(records, *a))
+    again = spark.createDataFrame([(i, s) for i, s, _ in rows] + [(100 + i, s) for i, s, _ in rows], "rid long, seq string")
+    assert {tuple(x) for x in blocks.linked_roots(again, 9, 0.5).collect()} == {(100 * c + i, i % 20) for i in range(40) for c in (0, 1)}
+    assert made == [(40, (0, 2)), (40, (1, 2))]
+
+
 def test_silhouette_brute_force(spark):
     import random
 
